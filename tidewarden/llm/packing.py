@@ -143,6 +143,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
             offset[at] = start[i] + nth % each[i] * length[at]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    lanes = max(1, sum(counts.values()) // LANE_ROWS)
+    lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // LANE_ROWS)
     out = ranked(pieces, lanes).withColumn("slot", slot("length", "rank"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "slot.sequence_id", "slot.offset")
