@@ -112,7 +112,7 @@ def queries() -> dict:
         "events_page": _over(lambda e: dashboards.list_events(e, 50, 10, classification="malicious", query="H1%.D", event_type="DNS").select("id", "domain", "risk_score", "decision")),
         "events_total": _over(lambda e: dashboards.filtered(e, decision="monitor", query="d2").agg(F.count(F.lit(1)).alias("n"))),
         "by_classification": _over(lambda e: dashboards.counted(e, "classification", classes)),
-        "by_decision": _over(lambda e: dashboards.counted(e.where(dashboards.DNS), "decision", decisions)),
+        "by_decision": _over(lambda e: dashboards.counted(e.where(dashboards.is_dns()), "decision", decisions)),
         "by_verdict": _over(lambda e: dashboards.counted(e, "ti_verdict")),
         "by_query_type": _over(lambda e: dashboards.counted(e, "query_type")),
         "by_response_code": _over(lambda e: dashboards.counted(e, "response_code")),

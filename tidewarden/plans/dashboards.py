@@ -7,7 +7,10 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DNS = F.col("event_type") == "dns"
+
+
+def is_dns():
+    return F.col("event_type") == "dns"
 
 
 def filtered(events: DataFrame, classification: str | None = None, decision: str | None = None, query: str | None = None, event_type: str | None = None) -> DataFrame:
@@ -77,7 +80,7 @@ def top_risky(events: DataFrame, k: int = 10, least: int = 30) -> DataFrame:
 
 
 def top_blocked(events: DataFrame, k: int = 15) -> DataFrame:
-    rows = events.where(DNS & F.col("blocked")).groupBy("domain")
+    rows = events.where(is_dns() & F.col("blocked")).groupBy("domain")
     best = F.max_by("query_type", F.struct("risk_score", "id"))
     return rows.agg(F.max("risk_score").alias("risk_score"), best.alias("query_type"), F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), F.desc("risk_score"), "domain").limit(k)
 
@@ -108,12 +111,12 @@ def totals(events: DataFrame) -> DataFrame:
     """All single-number measures from one scan."""
     c, own = F.count_if, F.col
     return events.agg(
-        F.count(F.lit(1)).alias("events"), c(DNS).alias("dns_events"), c(own("classification").isin("SUSPICIOUS", "MALICIOUS")).alias("threats"),
-        c(own("cache_hit")).alias("cache_hits"), c(DNS & own("client_address").isNull()).alias("unattributed"),
+        F.count(F.lit(1)).alias("events"), c(is_dns()).alias("dns_events"), c(own("classification").isin("SUSPICIOUS", "MALICIOUS")).alias("threats"),
+        c(own("cache_hit")).alias("cache_hits"), c(is_dns() & own("client_address").isNull()).alias("unattributed"),
         c(own("total_gateway_time_ms").isNotNull()).alias("measured_queries"),
         F.round(F.coalesce(F.avg(F.when(own("upstream_used") & ~own("cache_hit"), own("dns_upstream_time_ms"))), F.lit(0.0)), 3).alias("mean_upstream_ms"),
-        F.round(F.coalesce(F.avg(F.when(DNS, own("total_gateway_time_ms"))), F.lit(0.0)), 3).alias("mean_gateway_ms"),
-        F.round(F.coalesce(F.max(F.when(DNS, own("total_gateway_time_ms"))), F.lit(0.0)), 3).alias("slowest_gateway_ms"),
+        F.round(F.coalesce(F.avg(F.when(is_dns(), own("total_gateway_time_ms"))), F.lit(0.0)), 3).alias("mean_gateway_ms"),
+        F.round(F.coalesce(F.max(F.when(is_dns(), own("total_gateway_time_ms"))), F.lit(0.0)), 3).alias("slowest_gateway_ms"),
     )
 
 
@@ -121,7 +124,7 @@ def log_lines(events: DataFrame) -> DataFrame:
     """What a log shows: severity, action and source of each row."""
     severity = F.when(F.col("decision") == "BLOCK", "BLOCKED").when(F.col("response_code") == "SERVFAIL", "ERROR").when(F.col("decision") == "MONITOR", "WARNING").otherwise("INFO")
     action = F.when(F.col("blocked"), "blocked").when(F.col("cache_hit"), "answered from cache").when(F.col("upstream_used"), "resolved upstream").otherwise("analysed")
-    return events.select("id", "ts", "domain", severity.alias("severity"), action.alias("action"), F.coalesce("client_address", F.when(DNS, "unattributed").otherwise("analysis")).alias("source"))
+    return events.select("id", "ts", "domain", severity.alias("severity"), action.alias("action"), F.coalesce("client_address", F.when(is_dns(), "unattributed").otherwise("analysis")).alias("source"))
 
 
 def loopback_only(client, mode: str = "none"):
