@@ -16,55 +16,51 @@ from pyspark.sql import functions as F
 
 #: Rows of a cell's blocks.
 CANDIDATES, QUERIES = 8192, 1024
-#: Of each list, the share that the first round reads; the share doubles from round to round.
+#: Of each list, the share that the first round reads; each round reads four times as much as the one before.
 FIRST_DEPTH = 1 / 16
+#: Queries whose bounds are held at once.
+TOGETHER = 128
 
 
 class Lists:
-    """The sorted lists of a block of candidates (int64, n x d)."""
+    """The sorted lists of a block of candidates (n x d)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # d x n, ascending
-        self.sorted = np.take_along_axis(x, self.order.T, axis=0).T.copy()
-
-    def top(self, q: np.ndarray, k: int, own: int | None) -> list[tuple[int, int]]:
-        """(score, id) of the k best, ids equal to ``own`` left out."""
-        n, d = self.x.shape
-        down = q > 0
-        worst = np.where(down, self.sorted[:, 0], self.sorted[:, -1]) * q
-        read, known, seen = 0, np.zeros(n, np.int64), np.zeros((n, d), bool)
-        allowed = self.ids != own if own is not None else np.ones(n, bool)
-        k = min(k, int(allowed.sum()))
-        if not k:
-            return []
-        dims, depth = np.flatnonzero(q), max(k + 1, int(n * FIRST_DEPTH))
-        seen[:, q == 0] = True  # nothing to add there
-        alive = allowed
-        while True:
-            upto = min(depth, n)
-            for j in dims:
-                part = slice(n - upto, n - read) if down[j] else slice(read, upto)
-                at = self.order[j, part]
-                known[at] += q[j] * self.sorted[j, part]
-                seen[at, j] = True
-            read = upto
-            if read == n:
-                break
-            frontier = np.where(down, self.sorted[:, n - read], self.sorted[:, read - 1]) * q
-            unread = (~seen).astype(np.float64)
-            # whole numbers below 2**53, so floats are exact here
-            lower = known + (unread @ worst.astype(np.float64)).astype(np.int64)
-            upper = known + (unread @ frontier.astype(np.float64)).astype(np.int64)
-            bar = np.partition(lower[allowed], -k)[-k]
-            alive = allowed & (upper >= bar)  # a tie may still win by its id
-            if frontier.sum() < bar and alive.sum() <= max(8 * k, n // 64):
-                break
-            depth *= 2
-        left = np.flatnonzero(alive)
-        scores = self.x[left] @ q
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return [(int(scores[i]), int(self.ids[left[i]])) for i in best]
+        self.ids, self.x = ids, x.astype(np.float64)  # whole numbers below 2**53, so sums are exact
+        self.sorted = np.sort(self.x, axis=0)
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What is known of each candidate after ``depth`` entries of each list from its top, and from its bottom beside
+        that (n x 2d): values read are themselves; those not read are as bad, or as good, as they can still be."""
+        top, bottom = self.sorted[-depth], self.sorted[depth - 1]
+        lower = np.hstack([np.where(self.x >= top, self.x, self.sorted[0]), np.where(self.x <= bottom, self.x, self.sorted[-1])])
+        return lower, np.hstack([np.maximum(self.x, top), np.minimum(self.x, bottom)])
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row of the query, id, score) of the k best for each query, ids equal to its own left out.
+
+        Queries are read together, to the same depth; each is done as soon as few enough can still be among its best."""
+        n, q = len(self.ids), queries.astype(np.float64)
+        signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])  # down the lists, and up
+        out: list[tuple[int, int, int]] = []
+        todo, depth = np.arange(len(q)), max(k + 1, int(n * FIRST_DEPTH))
+        while len(todo):
+            depth = min(depth, n)
+            lower, upper = self.read(depth)
+            rest = []
+            for some in np.array_split(todo, -(-len(todo) // TOGETHER)):
+                itself = own[some][:, None] == self.ids[None, :]
+                low = np.where(itself, -np.inf, signed[some] @ lower.T)
+                bar = np.partition(low, max(n - k, 0), axis=1)[:, max(n - k, 0)]
+                alive = (signed[some] @ upper.T >= bar[:, None]) & ~itself  # a tie may still win by its id
+                done = (alive.sum(axis=1) <= max(8 * k, n // 64)) | (depth == n)
+                for i in np.flatnonzero(done):
+                    left = np.flatnonzero(alive[i])
+                    scores = self.x[left] @ q[some[i]]
+                    out += [(int(some[i]), int(self.ids[left[j]]), int(scores[j])) for j in np.lexsort((self.ids[left], -scores))[:k]]
+                rest.append(some[~done])
+            todo, depth = np.concatenate(rest), depth * 4
+        return out
 
 
 def whole_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -100,9 +96,9 @@ def top_inner_products(candidates: DataFrame, queries: DataFrame, k: int = 5, ca
         rows: list[tuple[int, int, int]] = []
         if len(ours) and len(theirs):
             width = max(ours.v.map(len).max(), theirs.v.map(len).max())
-            lists = Lists(theirs.vec_id.to_numpy(), _matrix(theirs.v, width))
-            for query, q in zip(ours.vec_id.to_numpy(), _matrix(ours.v, width), strict=True):
-                rows += [(int(query), i, s) for s, i in lists.top(q, k, int(query))]
+            asked = ours.vec_id.to_numpy()
+            found = Lists(theirs.vec_id.to_numpy(), _matrix(theirs.v, width)).top(_matrix(ours.v, width), k, asked)
+            rows = [(int(asked[i]), vec_id, score) for i, vec_id, score in found]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(cell, "query_id long, vec_id long, score long")
