@@ -9,6 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewarden.llm.store import settle
+
 #: Distinct white-space chunks whose ids a Python worker remembers; beyond it chunks are encoded anew each time.
 CACHE_ENTRIES = 400_000
 
@@ -105,8 +107,10 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     suffix sums above it; truncated_tokens: tokens left if every document is cut at the limit; quantile: share of the
     documents within it. A limit between two lengths L < m < next gives truncated_tokens(L) + (m - L) * docs_over(L).
 
-    Running sums go in two levels (within a block of lengths, then over block totals), so no task holds all lengths.
+    Running sums go in two levels (within a block of lengths, then over block totals), so no task holds all lengths. The
+    histogram is read twice for that, so it is written first: no text is encoded twice.
     """
+    histogram = settle(histogram, "length_histogram")
     h = histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     here = Window.partitionBy("block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
