@@ -2,10 +2,10 @@
 
 1. Whole texts become arrays of word ids of the benchmark's vocabulary (0: another word), once, in the shared folder.
 2. TF-IDF of passages over that vocabulary (other words weigh nothing in any item); the weights come from the document
-   counts of all documents, and words that are in too many of them weigh nothing either.
+   counts of all documents; words that are in most of them weigh little, but never nothing.
 3. Randomised SVD of the passage matrix A, distributed: each task multiplies its passages' A'(A W) for one random W, tasks'
    sums are added up in a tree, and the driver decomposes the fixed-size result (Nystroem, so one pass over the passages).
-4. Candidates: windows whose latent cosine with a passage of an item is high enough and that share enough of its words.
+4. Candidates: windows whose latent cosine with a passage of an item is high enough and that share enough of its words' weight.
 5. Checks on the words themselves: the longest common subsequence of the item with the text around the candidate, and
    how much of the item's answer, its last sentence, is in it. Paraphrases keep most words in order; chance doesn't.
 
@@ -26,10 +26,12 @@ from .store import settle
 #: Words of a passage, and from one window to the next.
 PASSAGE, STEP = 32, 8
 DIMENSIONS, OVERSAMPLE, SEED = 32, 4, 7
-#: Latent cosine for a passage of full length (shorter ones fill a window less), and share of its words.
+#: Latent cosine for a passage of full length (shorter ones fill a window less), and share of its words' weight.
 COSINE, SHARED = 0.25, 0.5
-#: Words in more than this share of the documents, and in more than this number, have no weight.
-COMMON, FEW = 0.15, 20
+#: Least weight of an item's word: even one that is in every document counts, since copies of a leak make its words frequent.
+LEAST_IDF = 0.05
+#: What rounding may take from a sum.
+ROUNDING = 1 - 1e-9
 #: Share of an item's words, in order, that makes a leak; or less with so much of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.75, 0.65, 0.9
 #: Items of the benchmark dealt with at once; words that a task handles at once; blocks that the tasks' sums are cut into.
@@ -254,18 +256,23 @@ class Items:
         self.words = [self.vocabulary.ids(h) for _, h, _ in hashed]
         self.answers = [min(len(h), max(3, last)) for _, h, last in hashed]
 
-    def place(self, table: np.ndarray, weighty: np.ndarray, cosine: float) -> None:
+    def place(self, table: np.ndarray, idf: np.ndarray, cosine: float) -> None:
         _, words, first = _joined(list(zip(self.ids, self.words, strict=True)))
         at, end, self.of = _windows(first, STEP)
-        self.vectors = _unit(_sums(words, at, end, table, weighty))
-        self.sets = [np.unique(w[weighty[w]]) for w in (words[a:b] for a, b in zip(at, end, strict=True))]
-        self.least = np.array([len(x) for x in self.sets])
+        self.vectors = _unit(_sums(words, at, end, table, idf > 0))
+        self.sets = [np.unique(words[a:b]) for a, b in zip(at, end, strict=True)]
+        self.least = np.array([SHARED * idf[x].sum() for x in self.sets])
         self.bars = (cosine * np.minimum(1, np.sqrt((end - at) / (0.75 * PASSAGE)))).astype(np.float32)
 
     def check(self, k: int, words: np.ndarray, at: int) -> tuple[float, float]:
         """(share of item k found in order around the passage at ``at``, share of its answer)."""
-        item = self.words[k].tolist()
-        around = words[max(0, at - len(item)) : at + PASSAGE + len(item)].tolist()
+        item = self.words[k]
+        around = words[max(0, at - len(item)) : at + PASSAGE + len(item)]
+        here = np.zeros(self.vocabulary.size + 1, bool)
+        here[around] = True
+        if (share := here[item].mean()) < LCS_WITH_ANSWER:  # no more words in order than words
+            return float(share), 0.0
+        item, around = item.tolist(), around.tolist()
         return common_words(item, around) / len(item), common_words(item[-self.answers[k] :], around) / self.answers[k]
 
 
@@ -295,41 +302,41 @@ def _found(docs: DataFrame, items: Items, cosine: float, kinds: tuple) -> DataFr
     vocabulary = items.vocabulary
     texts = settle(words_of(docs, vocabulary), "words")
     seen, n = document_counts(texts, vocabulary)
-    idf = np.log((n + 1) / (seen + 0.5)).clip(0.05)
-    idf[(seen > COMMON * n) & (seen > FEW)] = 0
+    idf = np.log((n + 1) / (seen + 0.5)).clip(LEAST_IDF)
     idf[0] = 0
     table, weighty = (latent_basis(texts, idf, vocabulary) * idf[:, None]).astype(np.float32), idf > 0
-    items.place(table, weighty, cosine)
+    items.place(table, idf, cosine)
     kind = vocabulary.kind
 
     def search(batches):
         member = np.zeros((len(items.sets), vocabulary.size + 1), bool)
         for i, words in enumerate(items.sets):
             member[i, words] = True
-        fewest, lowest = max(1, SHARED * items.least.min()), items.bars.min()
+        fewest, lowest = items.least.min() * ROUNDING, items.bars.min()
         for batch in batches:
             out: list[tuple] = []
             done: set[tuple[int, int]] = set()
             rows = zip(range(len(batch)), batch.column(1).to_pylist(), strict=True)
             for ids, words, first in _batches(rows, kind):
                 at, end, of = _windows(first, STEP)
-                some = np.concatenate([[0], np.cumsum(weighty[words])])
+                some = np.concatenate([[0], np.cumsum(idf[words])])
                 full = some[end] - some[at] >= fewest
                 at, end, of = at[full], end[full], of[full]
                 if not len(at):
                     continue
                 near = _unit(_sums(words, at, end, table, weighty)) @ items.vectors.T
                 which, passage = np.divmod(np.flatnonzero(near.ravel() >= lowest), near.shape[1])
-                weight = (some[end] - some[at])[which]  # a window shares no more words than it has
-                sure = (weight >= SHARED * items.least[passage]) & (near[which, passage] >= items.bars[passage])
+                weight = (some[end] - some[at])[which]  # a window shares no more weight than it has
+                sure = (weight >= items.least[passage] * ROUNDING) & (near[which, passage] >= items.bars[passage])
                 which, passage = which[sure], passage[sure]
-                shared = np.zeros(len(which), np.int64)
+                shared = np.zeros(len(which))
                 for x in range(0, len(which), 16384):
                     y = slice(x, x + 16384)
                     place = at[which[y], None] + np.arange(PASSAGE)
                     inside = place < end[which[y], None]
-                    shared[y] = (member[passage[y, None], words[np.minimum(place, len(words) - 1)]] & inside).sum(1)
-                enough = shared >= SHARED * items.least[passage]
+                    held = words[np.minimum(place, len(words) - 1)]
+                    shared[y] = np.where(member[passage[y, None], held] & inside, idf[held], 0).sum(1)
+                enough = shared >= items.least[passage] * ROUNDING
                 for w, p in zip(which[enough].tolist(), passage[enough].tolist(), strict=True):
                     doc, k = int(of[w]), int(items.of[p])
                     if (ids[doc], k) in done:
