@@ -2,7 +2,7 @@
 
 import random
 
-from tidewarden.llm import decontaminate
+from tidewarden.llm import decontaminate, main_text
 
 
 def words(rng, n, alphabet="abcdefghij"):
@@ -18,3 +18,20 @@ def test_item_in_many_documents_is_found_in_each(spark):
         docs[i] = (i, docs[i][1] + " " + items[k][1] + " " + words(rng, 20))
     found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == held
+
+
+def test_wrapper_classes_keep_the_article():
+    story = "".join(f"<p>Sentence {i} of the story, long enough to count as text.</p>" for i in range(8))
+    plain = " ".join(f"Sentence {i} of the story, long enough to count as text." for i in range(8))
+    side = "<div class=sidebar><a href=x>one</a> <a href=y>two</a></div>"
+    for name in ("content has-sidebar", "no-comments", "share menu"):
+        assert main_text.main_text(f"<body><div class='{name}'>{side}<article>{story}</article></div></body>") == plain
+        assert main_text.main_text(f"<body><div class='{name}'>{side}<div>{story}</div></div></body>") == plain
+    assert main_text.main_text(f"<body><div><div>{story}</div><div class=notice>Please accept this notice about cookies.</div></div></body>") == plain
+
+
+def test_density_chooses_inside_main():
+    story = "".join(f"<p>Sentence {i} of the story, long enough to count as text.</p>" for i in range(8))
+    links = "".join(f"<li><a href=x{i}>other page {i}</a></li>" for i in range(12))
+    got = main_text.main_text(f"<body><main><div><ul>{links}</ul></div><div>{story}</div></main></body>")
+    assert "Sentence 0" in got and "Sentence 7" in got and "other page" not in got

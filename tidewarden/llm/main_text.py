@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a tree of elements. What its tag, role, class or id declares to be no article text (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) is pruned. Every other node gets its composite text density, the
+Each page becomes a tree of elements. What its tag or role declares to be no article text (menus, headers, footers, forms)
+is pruned; so is what its class or id names so (sidebars, notices, adverts, comments), unless it holds most of the text,
+as a wrapper does. Every other node gets its composite text density, the
 characters for each tag, lowered by the share of links; a node's density sum is that of its children. The threshold is
 the least density on the way from the body to the node with the largest sum; from the body down, each subtree whose
 density reaches it gives its node with the largest sum, and that node's text is the page's.
@@ -48,7 +49,7 @@ class Page:
     a border of blocks)."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.pruned = [-1], ["#root"], [False]
+        self.parent, self.tag, self.pruned, self.named = [-1], ["#root"], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self.body = 0
         self._read(source)
@@ -93,6 +94,7 @@ class Page:
                     parent.append(stack[-1])
                     tag.append(name)
                     self.pruned.append(False)
+                    self.named.append(False)
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE).search(source, at)
@@ -117,7 +119,9 @@ class Page:
             i = len(parent)
             parent.append(stack[-1])
             tag.append(name)
-            self.pruned.append(self._is_boilerplate(name, attributes, open_tags))
+            pruned, named = self._is_boilerplate(name, attributes, open_tags)
+            self.pruned.append(pruned)
+            self.named.append(named)
             if attributes.endswith("/") and name in ("path", "circle", "rect"):
                 continue
             if name not in INLINE:
@@ -126,28 +130,55 @@ class Page:
             open_tags[name] = open_tags.get(name, 0) + 1
 
     @staticmethod
-    def _is_boilerplate(name: str, attributes: str, open_tags: dict[str, int]) -> bool:
+    def _is_boilerplate(name: str, attributes: str, open_tags: dict[str, int]) -> tuple[bool, bool]:
+        """(whether the element is no article text, whether only its class or id says that it may be none)."""
         inside = any(open_tags.get(x) for x in ARTICLES)
         if name in NO_TEXT or name == "header" and not inside:
-            return True
+            return True, False
         if not attributes or name in ("html", "body"):
-            return False
+            return False, False
+        named = False
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 if name not in ARTICLES:
                     words = {w.lower() for w in _NAME.findall(value)}
-                    if words & BOILERPLATE or words & HEADERS and not inside:
-                        return True
+                    named = named or bool(words & BOILERPLATE or words & HEADERS and not inside)
             elif key == "role":
                 if value.strip().lower() in NO_ROLE:
-                    return True
+                    return True, False
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-                return True
-        return False
+                return True, False
+        return False, named
+
+    def _prune_named(self) -> None:
+        """Prunes the elements whose class or id speaks against them, but none that holds most of the text: that of the
+        page's articles, or without any that of its main element or body."""
+        if not any(self.named):
+            return
+        parent, tag, n = self.parent, self.tag, len(self.parent)
+        out, within = [False] * n, {x: [False] * n for x in ARTICLES}
+        for i in range(n):
+            out[i] = self.pruned[i] or (i > 0 and out[parent[i]])
+            for x, mark in within.items():
+                mark[i] = tag[i] == x or (i > 0 and mark[parent[i]])
+        sizes = [(i, size) for i, text in self.pieces if text and not out[i] and (size := len(text.strip()))]
+        for mark in (within["article"], within["main"], [True] * n):
+            chars = [0] * n
+            for i, size in sizes:
+                if mark[i]:
+                    chars[i] += size
+            for i in range(n - 1, 0, -1):
+                chars[parent[i]] += chars[i]
+            if chars[0]:
+                break
+        for i in range(n):
+            if self.named[i] and 2 * chars[i] <= chars[0]:
+                self.pruned[i] = True
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density and density sum of every node; pruned ones have none."""
+        self._prune_named()
         parent, tag, n = self.parent, self.tag, len(self.parent)
         out, link = [False] * n, [False] * n
         for i in range(n):
@@ -220,17 +251,9 @@ class Page:
         return self._children
 
     def _whole(self, i: int) -> int:
-        """A part of an article stands for the article; else a part stands for its parent as long as what the parent adds
-        is no list of links."""
-        up, article = i, None
-        while up > 0:
-            if self.tag[up] in ARTICLES:
-                article = up
-                break
-            up = self.parent[up]
-        if article is not None:
-            return article
-        while (up := self.parent[i]) > self.body:
+        """A part stands for its parent, up to the article or main element, as long as what the parent adds is no list of
+        links."""
+        while self.tag[i] not in ARTICLES and (up := self.parent[i]) > self.body:
             more, links = self.chars[up] - self.chars[i], self.linked[up] - self.linked[i]
             if links > more / 3:
                 break
