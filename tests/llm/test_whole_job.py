@@ -2,7 +2,9 @@
 
 import random
 
-from tidewarden.llm import decontaminate, main_text
+import pytest
+
+from tidewarden.llm import decontaminate, langid, main_text
 
 
 def words(rng, n, alphabet="abcdefghij"):
@@ -35,3 +37,11 @@ def test_density_chooses_inside_main():
     links = "".join(f"<li><a href=x{i}>other page {i}</a></li>" for i in range(12))
     got = main_text.main_text(f"<body><main><div><ul>{links}</ul></div><div>{story}</div></main></body>")
     assert "Sentence 0" in got and "Sentence 7" in got and "other page" not in got
+
+
+def test_language_margin_holds_at_any_length(monkeypatch):
+    costs = {"a": 5000, "b": 5010}
+    monkeypatch.setattr(langid, "_compressors", lambda model: [(k, lambda _, n=n: b"x" * n) for k, n in costs.items()])
+    assert langid.identify("some text", (("a", b""),))[2]
+    costs["b"] = 5030
+    assert langid.identify("some text", (("a", b""),)) == ("a", pytest.approx(1, abs=1e-3), False)

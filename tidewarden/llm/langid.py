@@ -72,7 +72,7 @@ def identify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[st
     if len(costs) == 1:
         return costs[0][1], 1.0, False
     saved = costs[1][0] - costs[0][0]
-    return costs[0][1], 1 / (1 + math.exp(-saved / 4)), saved < MARGIN * costs[0][0] and saved < 4
+    return costs[0][1], 1 / (1 + math.exp(-saved / 4)), saved < MARGIN * costs[0][0]
 
 
 def detect(text, model: dict[str, bytes]):
