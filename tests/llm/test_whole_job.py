@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidewarden.llm import decontaminate, langid, main_text
+from tidewarden.llm import decontaminate, langid, main_text, toxicity
 
 
 def words(rng, n, alphabet="abcdefghij"):
@@ -45,3 +45,20 @@ def test_language_margin_holds_at_any_length(monkeypatch):
     assert langid.identify("some text", (("a", b""),))[2]
     costs["b"] = 5030
     assert langid.identify("some text", (("a", b""),)) == ("a", pytest.approx(1, abs=1e-3), False)
+
+
+def test_terms_inside_tokens():
+    lexicon = toxicity.Lexicon({"idiot$": 0.9, "fool$": 0.8, "vequ": 0.8, "白痴$": 0.9}, frozenset(["idio"]))
+    for token in ("you,idiot,you", "well...idiot", "l'idiot", "you-idioot", "idiot/" + "x" * 80, "x" * 40 + "/" + "y" * 40 + "/idiot", "z" * 70 + "idiot" + "z" * 9, "你这个白痴很"):
+        assert toxicity.Weights(lexicon)[token] > 0.7, token
+    assert lexicon.weight("fool/idiot") == pytest.approx(0.98) and 0 < lexicon.weight("i.d.i.o.t") < 0.9
+    assert lexicon.weight("idio/patriot") == lexicon.weight("a/b/c") == toxicity.Weights(lexicon)["x" * 500] == 0
+
+
+def test_terms_between_marks_are_learned(spark):
+    rng = random.Random(19)
+    for term in ("idiot", "白痴"):
+        rows = [(int(i % 4 == 0), words(rng, 40) + (f" x{words(rng, 1)},{term},{words(rng, 1)}" if i % 4 == 0 else "")) for i in range(400)]
+        model = toxicity.fit(spark.createDataFrame(rows, "toxic int, text string"))
+        docs = spark.createDataFrame([(1, f"aa {term}"), (2, words(rng, 30))], "doc_id long, text string")
+        assert {r.doc_id: r.predicted for r in toxicity.predict(docs, model).collect()} == {1: 1, 2: 0}

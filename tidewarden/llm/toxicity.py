@@ -43,6 +43,11 @@ CACHE_ENTRIES = 400_000
 OPENING, CLOSING = "\"“«„‹‟", "\"”»“›"
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 _INSIDE = re.compile(r"[\W_]+")
+#: Scripts written without spaces (Thai to Lao, Burmese, Khmer, kana and Han); their words are runs of 2 to 4 characters.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{2,}")
+RUNS = range(2, 5)
+#: Letters from which on a token is no single word: terms are sought inside it, and it isn't remembered.
+LONG = 64
 
 
 def core(token: str) -> str:
@@ -50,6 +55,16 @@ def core(token: str) -> str:
     return _CORE.sub("", token).lower()
 
 
+def parts(word: str) -> list[str]:
+    """The words between the marks in a word; the word itself without any."""
+    return [x for x in _INSIDE.split(word) if len(x) > 2] if _INSIDE.search(word) else [word]
+
+
+def runs(word: str) -> set[str]:
+    """Runs of characters that may be words of a script without spaces."""
+    return {x[i : i + n] for x in _UNSPACED.findall(word) for n in RUNS for i in range(len(x) - n + 1)}
+
+
 def edits_allowed(term: str) -> int:
     """None for stems and short words, else one, and two from nine letters on."""
     n = len(term) - 1
@@ -135,17 +150,42 @@ class Lexicon:
                     todo.append((child, after))
         return best
 
+    def inside(self, word: str) -> list[str]:
+        """The whole-word terms that begin anywhere in a word, the longest at each place, none within another."""
+        out, at = [], 0
+        while at < len(word):
+            node, found, end = self.root, None, at + 1
+            for i in range(at, len(word)):
+                node = node.get(word[i])
+                if node is None:
+                    break
+                if "$" in node:
+                    found, end = node["$"][""], i + 1
+            if found:
+                out.append(found)
+            at = end
+        return out
+
     def weight(self, token: str) -> float:
-        """0 if the token is no term, nor near one."""
+        """0 if the token is no term, nor near one, nor holds one between marks. Several terms add their evidence."""
         word = core(token)
+        if _UNSPACED.search(word):
+            if hits := [self.terms[t] for x in runs(word) if (t := x + "$") in self.terms]:
+                return 1 - math.prod(1 - w for w in hits)
         if len(word) < 3:
             return 0.0
+        if not _INSIDE.search(word):
+            return self._weight(word)
+        plain = _INSIDE.sub("", word)
+        term = self.exact(plain)
+        joined = self.terms[term] * PER_EDIT if term and term.endswith("$") else 0.0  # marks set between letters
+        return max(joined, 1 - math.prod(1 - self._weight(x) for x in parts(word)))
+
+    def _weight(self, word: str) -> float:
         if term := self.exact(word):
             return self.terms[term]
-        plain = _INSIDE.sub("", word)
-        if plain != word:  # marks set between letters
-            term = self.exact(plain)
-            return self.terms[term] * PER_EDIT if term and term.endswith("$") else 0.0
+        if len(word) > LONG and (hits := [self.terms[t] for t in self.inside(word)]):
+            return 1 - math.prod(1 - w for w in hits)
         if not self.any_part or word in self.known or not self.any_part(word):
             return 0.0
         found = self.near(word)
@@ -157,8 +197,8 @@ class Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, token: str) -> float:
-        got = self.lexicon.weight(token) if len(token) <= 64 else 0.0
-        if len(self) < CACHE_ENTRIES:
+        got = self.lexicon.weight(token)
+        if len(self) < CACHE_ENTRIES and len(token) <= LONG:
             self[token] = got
         return got
 
@@ -230,7 +270,15 @@ def _grams(words: set[str]) -> set[str]:
 
 
 def _words(text: str) -> set[str]:
-    return {w for w in map(core, set(text.split())) if 3 <= len(w) <= 40 and not w.isdigit()}
+    out: set[str] = set()
+    for w in map(core, set(text.split())):
+        if len(w) > 2:
+            out.add(w)
+            if _INSIDE.search(w):
+                out.update(parts(w))
+        if _UNSPACED.search(w):
+            out |= runs(w)
+    return {w for w in out if not w.isdigit()}
 
 
 def _sketch(text: str) -> list[int]:
