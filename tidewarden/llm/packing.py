@@ -24,6 +24,7 @@ from .tokens import chunk_ids
 
 CAPACITY = 4096
 END_ID = 1
+SEED = 1
 #: Rows that one lane ranks, about; lanes are counted from the table, so their rows stay bounded as it grows.
 LANE_ROWS = 200_000
 
@@ -101,18 +102,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def ranked(pieces: DataFrame, lanes: int) -> DataFrame:
-    """Adds ``rank``, the place of a piece among those of its length, from 0 without gaps."""
-    lane = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(lanes)).alias("lane")
+    """Adds ``rank``, the place of a piece among those of its length, from 0 without gaps. A piece's lane follows from its
+    ``spread``, a number from 0 to 1, so pieces alike in everything are spread as well."""
+    lane = F.floor(F.col("spread") * lanes).alias("lane")
     rows = pieces.select("*", lane)
     sizes = rows.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "lane").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "lane").orderBy("spread", "doc_id", "piece", "ids_crc32")
     return (
         rows.withColumn("n", F.row_number().over(inside) - 1)
         .join(offsets, ["length", "lane"])
         .withColumn("rank", F.col("n") + F.col("before"))
-        .drop("n", "before", "lane")
+        .drop("n", "before", "lane", "spread")
     )
 
 
@@ -120,8 +122,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
     """Rows of :func:`cut` with sequence_id and offset. Sequences have no gaps, and none holds more than ``capacity``.
 
     Null texts are empty; null or repeated ids are packed like others, row by row; an empty table gives no rows; columns
-    beside the id and the text are left out, whatever their names. Rows alike in id and text may swap slots."""
-    pieces = settle(cut(docs, id_col, text, tokenizer, capacity, end_id, keep_ids), "pieces")
+    beside the id and the text are left out, whatever their names. Which of the pieces of a length takes which slot is drawn."""
+    pieces = cut(docs, id_col, text, tokenizer, capacity, end_id, keep_ids).withColumn("spread", F.rand(SEED))
+    pieces = settle(pieces, "pieces")  # what was drawn stays, whatever is read again
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     rows = plan(counts, capacity)
     by_length: dict[int, list[tuple]] = {}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
+import sys
+from array import array
 
 import pandas as pd
 import public_tokenizers
@@ -13,37 +16,67 @@ from tidewarden.llm.store import settle
 
 #: Distinct white-space chunks whose ids a Python worker remembers; beyond it chunks are encoded anew each time.
 CACHE_ENTRIES = 400_000
+#: Letters that a chunk may have to be remembered.
+REMEMBERED = 48
+
+# The vocabulary's pre-tokenizer, for printable ASCII and Latin letters. These are normalised already, but
+# for the dotted capital I, whose lower case is two characters; chunks with others are left to the tokenizer as a whole.
+_LETTERS, _NUMERALS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^{_LETTERS}{_NUMERALS}]+").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b], spare = chr(spare), spare + 1
+    return out
 
 
 class ChunkIds(dict):
     """Chunk of UTF-8 without ASCII white space -> its ids as little-endian uint32 bytes.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, so the ids of a text are the ids of its
-    chunks one after another. Most running text repeats a small set of chunks, hence the memory.
+    chunks one after another. Most running text repeats a small set of chunks, hence the memory; a chunk of plain letters
+    goes to the merges at once, without the tokenizer's normaliser.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _encode(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+
+    def _encode(self, chunk: str) -> list[int]:
+        if not _PLAIN(chunk) or "<|" in chunk:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        out = []
+        for piece in _PIECES(chunk.lower()):
+            if not piece.isascii():
+                piece = "".join(map(self.letters.__getitem__, piece.encode()))
+            out += [t.id for t in self.merge(piece)]
+        return out
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if len(text) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha():  # a word and its mark are separate pieces
-            ids = self[text[:-1].encode()] + self[text[-1].encode()]
-        else:
-            ids = self._encode(text)
-        if len(self) < CACHE_ENTRIES and len(chunk) <= 48:
+        ids = array("I", self._encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
+        if len(self) < CACHE_ENTRIES and len(chunk) <= REMEMBERED:
             self[chunk] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
         data = (text or "").encode()
-        if b"<|" not in data:  # lower case could turn other text into a control string
+        # Lower case could turn other text into a control string, or let a letter meet a mark (their first bytes: CC, CD)
+        # that it has one character with in lower case only.
+        if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
             data = data.lower()
         return b"".join(map(self.__getitem__, data.split()))
 
