@@ -9,7 +9,8 @@
 5. Checks on the words themselves: the longest common subsequence of the item with the text around the candidate, and
    how much of the item's answer, its last sentence, is in it. Paraphrases keep most words in order; chance doesn't.
 
-The benchmark is dealt with in parts of ``PART`` items, so what tasks receive has a bound whatever its size.
+The benchmark is dealt with in parts of ``PART`` items, ``ROUND`` of them in each round over the corpus, so what tasks
+receive has a bound whatever its size.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .store import settle
 
@@ -34,8 +37,9 @@ LEAST_IDF = 0.05
 ROUNDING = 1 - 1e-9
 #: Share of an item's words, in order, that makes a leak; or less with so much of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.75, 0.65, 0.9
-#: Items of the benchmark dealt with at once; words that a task handles at once; blocks that the tasks' sums are cut into.
-PART, BATCH, BLOCKS = 1000, 65536, 16
+#: Items of a part; parts that share a round's passes over the corpus; words that a task handles at once; blocks that the
+#: tasks' sums are cut into.
+PART, ROUND, BATCH, BLOCKS = 500, 8, 65536, 16
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 # Words are runs of ASCII letters and digits and of bytes beyond ASCII, in lower case.
@@ -78,7 +82,7 @@ class Vocabulary:
         self.rest = np.sort(hashes)
         slot = self._slot(self.rest)
         self.first = np.zeros(1 << int(self.bits), np.uint32)
-        self.known = np.concatenate([[0], self.rest]).astype(np.uint64)
+        self.known = np.concatenate([np.zeros(1, np.uint64), self.rest])
         self.first[slot] = np.arange(1, self.size + 1)
         kept = np.zeros(self.size + 1, bool)
         kept[self.first[slot]] = True
@@ -136,12 +140,21 @@ def _windows(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.n
     return at, np.minimum(at + PASSAGE, first[of + 1]), of
 
 
-def _sums(words: np.ndarray, at: np.ndarray, end: np.ndarray, table: np.ndarray, weighty: np.ndarray) -> np.ndarray:
-    """Sums of the table's rows over each window, by running sums over the words that have a weight."""
-    where = np.flatnonzero(weighty[words])
-    running = np.zeros((len(where) + 1, table.shape[1]), np.float32)
-    np.cumsum(table[words[where]], axis=0, out=running[1:])
-    return running[np.searchsorted(where, end)] - running[np.searchsorted(where, at)]
+def _sums(words: np.ndarray, first: np.ndarray, at: np.ndarray, end: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over each window, which begins at a step of its text: by running sums over the steps. Words
+    with id 0 weigh nothing."""
+    steps = -(-np.diff(first) // STEP)
+    offset = np.cumsum(steps) - steps  # steps before each text
+    where = np.flatnonzero(words)
+    text = np.searchsorted(first, where, side="right") - 1
+    step = offset[text] + (where - first[text]) // STEP
+    cuts = np.flatnonzero(np.diff(step, prepend=-1))
+    running = np.zeros((int(steps.sum()) + 1, table.shape[1]), np.float32)
+    if len(where):
+        running[step[cuts] + 1] = np.add.reduceat(table[words[where]], cuts, axis=0)
+    np.cumsum(running, axis=0, out=running)
+    a = offset[of] + (at - first[of]) // STEP
+    return running[a - (at - end) // STEP] - running[a]
 
 
 def document_counts(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -159,7 +172,7 @@ def document_counts(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarra
         seen[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(range(size + 1), pa.int32()), pa.array(seen, pa.int64())], ["c", "n"])
 
-    rows = texts.select("words").mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()  # the part's vocabulary
+    rows = texts.select("words").mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()  # the round's vocabulary
     out = np.zeros(size + 1, np.int64)
     for r in rows:
         out[r.c] = r.n
@@ -182,49 +195,55 @@ def _summed(parts: DataFrame, lanes: int) -> DataFrame:
     return dealt.repartition("block", "lane").mapInArrow(add, "block int, lane int, v binary")
 
 
-def latent_basis(texts: DataFrame, idf: np.ndarray, vocabulary: Vocabulary, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Words x dimensions: the leading right singular vectors of the TF-IDF matrix of all passages (unit length each)."""
-    width, kind = min(dimensions + OVERSAMPLE, len(idf)), vocabulary.kind
-    size = -(-len(idf) // BLOCKS) * BLOCKS
-    random = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(idf), width)))[0]
-    weighted = (random * idf[:, None]).astype(np.float32)
-    squares, weighty = idf * idf, idf > 0
+def latent_bases(texts: DataFrame, parts: list[Items], dimensions: int = DIMENSIONS) -> list[np.ndarray]:
+    """For each part, words x dimensions: the leading right singular vectors of the TF-IDF matrix of all passages (unit
+    length each) over the part's words. One pass over the texts serves all parts."""
+    widths = [min(dimensions + OVERSAMPLE, len(p.idf)) for p in parts]
+    sizes = [-(-len(p.idf) // BLOCKS) * BLOCKS for p in parts]
+    randoms = [np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(p.idf), w)))[0] for p, w in zip(parts, widths, strict=True)]
+    weighted = [(r * p.idf[:, None]).astype(np.float32) for r, p in zip(randoms, parts, strict=True)]
+    kind = parts[0].coded
 
     def multiply(batches):
         from pyspark import TaskContext
 
-        out = np.zeros((size, width))
-        for _, words, first in _batches(((None, raw) for batch in batches for raw in batch.column(0).to_pylist()), kind):
+        outs = [np.zeros((size, width)) for size, width in zip(sizes, widths, strict=True)]
+        for _, coded, first in _batches(((None, raw) for batch in batches for raw in batch.column(0).to_pylist()), kind):
             at, _, _ = _windows(first, PASSAGE)
-            where = np.flatnonzero(weighty[words])
-            if not len(where):
-                continue
-            words = words[where]
-            passage = np.searchsorted(at, where, side="right") - 1
-            starts = np.flatnonzero(np.diff(passage, prepend=-1))
-            scores = np.add.reduceat(weighted[words], starts, axis=0) / np.add.reduceat(squares[words], starts)[:, None]
-            order = np.argsort(words, kind="stable")
-            cuts = np.flatnonzero(np.diff(words[order], prepend=0) > 0)
-            nth = (np.cumsum(np.diff(passage, prepend=passage[0]) > 0))[order]
-            out[words[order[cuts]]] += np.add.reduceat(scores[nth], cuts, axis=0)
-        out[: len(idf)] *= idf[:, None]
+            for part, weights, out in zip(parts, weighted, outs, strict=True):
+                words = part.own(coded)
+                where = np.flatnonzero(words)
+                if not len(where):
+                    continue
+                words = words[where]
+                passage = np.searchsorted(at, where, side="right") - 1
+                starts = np.flatnonzero(np.diff(passage, prepend=-1))
+                scores = np.add.reduceat(weights[words], starts, axis=0) / np.add.reduceat(np.square(part.idf)[words], starts)[:, None]
+                order = np.argsort(words, kind="stable")
+                cuts = np.flatnonzero(np.diff(words[order].astype(np.int64), prepend=0) > 0)
+                nth = (np.cumsum(np.diff(passage, prepend=passage[0]) > 0))[order]
+                out[words[order[cuts]]] += np.add.reduceat(scores[nth], cuts, axis=0)
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in np.split(out, BLOCKS)], pa.binary())], ["block", "lane", "v"])
-
-    parts = texts.select("words").mapInArrow(multiply, "block int, lane int, v binary")
-    y = np.zeros((BLOCKS, size // BLOCKS * width))
-    for r in _summed(_summed(parts, 64), 1).collect():  # the part's vocabulary x width numbers
-        y[r.block] = np.frombuffer(r.v, np.float64)
-    y = y.reshape(size, width)[: len(idf)]
-    if not y.any():
-        return random[:, :dimensions]
-    shift = np.finfo(np.float64).eps * np.linalg.norm(y) * 100
-    y = y + shift * random
-    inner = random.T @ y
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    keep = values > values.max() * 1e-10
-    left, _, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
-    return left[:, :dimensions]
+        for i, (part, out) in enumerate(zip(parts, outs, strict=True)):
+            out[: len(part.idf)] *= part.idf[:, None]
+            blocks = pa.array(range(i * BLOCKS, (i + 1) * BLOCKS), pa.int32())
+            yield pa.RecordBatch.from_arrays([blocks, pa.array([task] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in np.split(out, BLOCKS)], pa.binary())], ["block", "lane", "v"])
+
+    tasks = texts.select("words").mapInArrow(multiply, "block int, lane int, v binary")
+    sums = {r.block: np.frombuffer(r.v, np.float64) for r in _summed(_summed(tasks, 64), 1).collect()}  # the round's vocabulary x width numbers
+    out = []
+    for i, (part, random, width) in enumerate(zip(parts, randoms, widths, strict=True)):
+        y = np.concatenate([sums[i * BLOCKS + j] for j in range(BLOCKS)]).reshape(-1, width)[: len(part.idf)] if sums else np.zeros(random.shape)
+        if not y.any():
+            out.append(random[:, :dimensions])
+            continue
+        y = y + np.finfo(np.float64).eps * np.linalg.norm(y) * 100 * random
+        inner = random.T @ y
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        keep = values > values.max() * 1e-10
+        left, _, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+        out.append(left[:, :dimensions])
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -245,7 +264,7 @@ def common_words(item: list[int], text: list[int]) -> int:
 
 
 class Items:
-    """A part of the benchmark: words, answers, and the latent vectors of its passages."""
+    """A part of the benchmark: words, answers, and the latent vectors of its passages. Word ids are the part's own."""
 
     def __init__(self, rows: list[tuple]):
         hashed = [(i, word_hashes(text), len(word_hashes(_SENTENCE.split(text.strip())[-1]))) for i, text in rows]
@@ -256,12 +275,27 @@ class Items:
         self.words = [self.vocabulary.ids(h) for _, h, _ in hashed]
         self.answers = [min(len(h), max(3, last)) for _, h, last in hashed]
 
-    def place(self, table: np.ndarray, idf: np.ndarray, cosine: float) -> None:
+    def join(self, vocabulary: Vocabulary, seen: np.ndarray, documents: int) -> None:
+        """Takes its place in a round: texts come in the ids of the round's ``vocabulary``, which has these document counts."""
+        there = vocabulary.ids(self.vocabulary.known[1:])
+        self.coded = vocabulary.kind
+        self.local = None
+        if vocabulary.size != self.vocabulary.size:
+            self.local = np.zeros(vocabulary.size + 1, self.vocabulary.kind)
+            self.local[there] = np.arange(1, self.vocabulary.size + 1)
+        self.idf = np.concatenate([[0.0], np.log((documents + 1) / (seen[there] + 0.5)).clip(LEAST_IDF)])
+
+    def own(self, coded: np.ndarray) -> np.ndarray:
+        """The round's word ids as this part's."""
+        return coded if self.local is None else self.local[coded]
+
+    def place(self, basis: np.ndarray, cosine: float) -> None:
+        self.table = (basis * self.idf[:, None]).astype(np.float32)
         _, words, first = _joined(list(zip(self.ids, self.words, strict=True)))
         at, end, self.of = _windows(first, STEP)
-        self.vectors = _unit(_sums(words, at, end, table, idf > 0))
+        self.vectors = _unit(_sums(words, first, at, end, self.of, self.table))
         self.sets = [np.unique(words[a:b]) for a, b in zip(at, end, strict=True)]
-        self.least = np.array([SHARED * idf[x].sum() for x in self.sets])
+        self.least = np.array([SHARED * self.idf[x].sum() for x in self.sets]) * ROUNDING
         self.bars = (cosine * np.minimum(1, np.sqrt((end - at) / (0.75 * PASSAGE)))).astype(np.float32)
 
     def check(self, k: int, words: np.ndarray, at: int) -> tuple[float, float]:
@@ -275,6 +309,81 @@ class Items:
         item, around = item.tolist(), around.tolist()
         return common_words(item, around) / len(item), common_words(item[-self.answers[k] :], around) / self.answers[k]
 
+    def find(self, coded: np.ndarray, first: np.ndarray) -> list[tuple]:
+        """(text, item id, cosine, lcs, answer) of the windows of the joined texts that hold an item."""
+        words = self.own(coded)
+        at, end, of = _windows(first, STEP)
+        some = np.concatenate([[0], np.cumsum(self.idf[words])])
+        heavy = some[end] - some[at]
+        full = np.flatnonzero(heavy >= self.least.min())  # a window shares no more weight than it has
+        if not len(full):
+            return []
+        at, end, of, heavy = at[full], end[full], of[full], heavy[full]
+        near = _unit(_sums(words, first, at, end, of, self.table)) @ self.vectors.T
+        hits = np.flatnonzero(near >= self.bars)
+        which, passage = np.divmod(hits, near.shape[1])
+        sure = heavy[which] >= self.least[passage]
+        which, passage = which[sure], passage[sure]
+        place = at[:, None] + np.arange(PASSAGE)
+        held = np.where(place < end[:, None], words[np.minimum(place, len(words) - 1)], 0).astype(np.int64)
+        weights = self.idf[held]
+        shared, width = np.zeros(len(which)), self.vocabulary.size + 1
+        for x in range(0, len(which), 16384):
+            y = slice(x, x + 16384)
+            inside = self.member.take(passage[y, None] * width + held[which[y]])
+            shared[y] = np.einsum("ij,ij->i", inside, weights[which[y]])
+        enough = shared >= self.least[passage]
+        out, done = [], set()
+        for w, p in zip(which[enough].tolist(), passage[enough].tolist(), strict=True):
+            doc, k = int(of[w]), int(self.of[p])
+            if (doc, k) in done:
+                continue
+            share, answer = self.check(k, words[first[doc] : first[doc + 1]], int(at[w] - first[doc]))
+            if share >= LCS or share >= LCS_WITH_ANSWER and answer >= ANSWER:
+                if share == 1:
+                    done.add((doc, k))
+                out.append((doc, self.ids[k], float(near[w, p]), share, answer))
+        return out
+
+    @property
+    def member(self) -> np.ndarray:
+        """Which words each passage has, passage by passage; made where it is used."""
+        if "_member" not in self.__dict__:
+            self._member = np.zeros((len(self.sets), self.vocabulary.size + 1), bool)
+            for i, words in enumerate(self.sets):
+                self._member[i, words] = True
+            self._member = self._member.ravel()
+        return self._member
+
+
+def _rounds(benchmark: DataFrame, item_col: str, item_text: str, part_items: int):
+    """(item id's type, the parts of each round)."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    parts = max(1, -(-items.count() // part_items))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+
+    def rounds():
+        for at in range(0, parts, ROUND):
+            rows: dict[int, list[tuple]] = {}
+            for r in items.where((F.col("part") >= at) & (F.col("part") < at + ROUND)).collect():  # part_items * ROUND, about
+                rows.setdefault(r.part, []).append((r.item_id, r.text))
+            if group := [p for p in map(Items, rows.values()) if p.ids]:
+                yield group
+
+    return items.schema["item_id"].dataType, rounds()
+
+
+def _fitted(docs: DataFrame, group: list[Items], cosine: float) -> tuple[DataFrame, Vocabulary]:
+    """The coded texts of ``docs`` (doc_id, text) and their vocabulary; the parts are ready to find their items."""
+    vocabulary = Vocabulary(np.unique(np.concatenate([p.vocabulary.known[1:] for p in group])))
+    texts = settle(words_of(docs, vocabulary), "words")
+    seen, n = document_counts(texts, vocabulary)
+    for part in group:
+        part.join(vocabulary, seen, n)
+    for part, basis in zip(group, latent_bases(texts, group), strict=True):
+        part.place(basis, cosine)
+    return texts, vocabulary
+
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, part_items: int = PART) -> DataFrame:
     """Rows (doc_id, item_id, cosine, lcs, answer): the documents that hold an item, or a paraphrase of it that keeps
@@ -282,86 +391,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
     Null and empty texts and items hold nothing and are held by nothing; null ids are kept; empty tables give no rows;
     other columns are left out, whatever their names."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    parts = max(1, -(-items.count() // part_items))
-    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    kinds = (rows.schema["doc_id"].dataType, items.schema["item_id"].dataType)
-    out = None
-    for part in range(parts):
-        found = _found(rows, Items([(r.item_id, r.text) for r in items.where(F.col("part") == part).collect()]), cosine, kinds)
-        out = found if out is None else out.unionByName(found)
+    item_type, rounds = _rounds(benchmark, item_col, item_text, part_items)
+    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, cosine double, lcs double, answer double"
+    out = docs.sparkSession.createDataFrame([], shape)
+    for group in rounds:
+        texts, vocabulary = _fitted(rows, group, cosine)
+        out = out.unionByName(texts.mapInArrow(_searcher(group, vocabulary.kind, to_arrow_type(item_type)), shape))
     best = F.max_by(F.struct("cosine", "lcs", "answer"), F.struct("lcs", "answer", "cosine"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def _found(docs: DataFrame, items: Items, cosine: float, kinds: tuple) -> DataFrame:
-    shape = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, cosine double, lcs double, answer double"
-    if not items.ids:
-        return docs.sparkSession.createDataFrame([], shape)
-    vocabulary = items.vocabulary
-    texts = settle(words_of(docs, vocabulary), "words")
-    seen, n = document_counts(texts, vocabulary)
-    idf = np.log((n + 1) / (seen + 0.5)).clip(LEAST_IDF)
-    idf[0] = 0
-    table, weighty = (latent_basis(texts, idf, vocabulary) * idf[:, None]).astype(np.float32), idf > 0
-    items.place(table, idf, cosine)
-    kind = vocabulary.kind
-
+def _searcher(group: list[Items], kind, item_kind: pa.DataType):
     def search(batches):
-        member = np.zeros((len(items.sets), vocabulary.size + 1), bool)
-        for i, words in enumerate(items.sets):
-            member[i, words] = True
-        fewest, lowest = items.least.min() * ROUNDING, items.bars.min()
         for batch in batches:
             out: list[tuple] = []
-            done: set[tuple[int, int]] = set()
-            rows = zip(range(len(batch)), batch.column(1).to_pylist(), strict=True)
-            for ids, words, first in _batches(rows, kind):
-                at, end, of = _windows(first, STEP)
-                some = np.concatenate([[0], np.cumsum(idf[words])])
-                full = some[end] - some[at] >= fewest
-                at, end, of = at[full], end[full], of[full]
-                if not len(at):
-                    continue
-                near = _unit(_sums(words, at, end, table, weighty)) @ items.vectors.T
-                which, passage = np.divmod(np.flatnonzero(near.ravel() >= lowest), near.shape[1])
-                weight = (some[end] - some[at])[which]  # a window shares no more weight than it has
-                sure = (weight >= items.least[passage] * ROUNDING) & (near[which, passage] >= items.bars[passage])
-                which, passage = which[sure], passage[sure]
-                shared = np.zeros(len(which))
-                for x in range(0, len(which), 16384):
-                    y = slice(x, x + 16384)
-                    place = at[which[y], None] + np.arange(PASSAGE)
-                    inside = place < end[which[y], None]
-                    held = words[np.minimum(place, len(words) - 1)]
-                    shared[y] = np.where(member[passage[y, None], held] & inside, idf[held], 0).sum(1)
-                enough = shared >= items.least[passage] * ROUNDING
-                for w, p in zip(which[enough].tolist(), passage[enough].tolist(), strict=True):
-                    doc, k = int(of[w]), int(items.of[p])
-                    if (ids[doc], k) in done:
-                        continue
-                    share, answer = items.check(k, words[first[doc] : first[doc + 1]], int(at[w] - first[doc]))
-                    if share >= LCS or share >= LCS_WITH_ANSWER and answer >= ANSWER:
-                        if share == 1:
-                            done.add((ids[doc], k))
-                        out.append((ids[doc], items.ids[k], float(near[w, p]), share, answer))
+            for ids, coded, first in _batches(zip(range(len(batch)), batch.column(1).to_pylist(), strict=True), kind):
+                for part in group:
+                    out += [(ids[doc], *rest) for doc, *rest in part.find(coded, first)]
             doc_ids = batch.column(0).take(pa.array([r[0] for r in out], pa.int32()))
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array([r[1] for r in out]).cast(item_kind) if out else pa.array([], item_kind), *(pa.array([r[i] for r in out], pa.float64()) for i in (2, 3, 4))], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    return search
 
-    item_kind = to_arrow_type(kinds[1])
-    return texts.mapInArrow(search, shape)
 
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, in all their columns; rows without an id stay unless a row
-    without one holds an item, which then go by their text."""
-    found = settle(leaks(docs, benchmark, id_col, text).select("doc_id").distinct(), "leaks")
-    kept = docs.join(found.withColumnRenamed("doc_id", "_leak_id"), F.col(id_col) == F.col("_leak_id"), "left_anti")
-    if found.where("doc_id is null").isEmpty():
-        return kept
-    nameless = docs.where(F.col(id_col).isNull())
-    bad = leaks(nameless.select(F.col(text).alias("key"), F.col(text).alias("text")), benchmark, "key").select(F.col("doc_id").alias("_leak_text"))
-    return kept.where(F.col(id_col).isNotNull()).unionByName(nameless.join(bad, F.col(text) == F.col("_leak_text"), "left_anti"))
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", cosine: float = COSINE, part_items: int = PART) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, in all their columns, whatever their names. Rows are
+    judged by their own text: null ids and rows that repeat an id make no difference. Nothing is joined or shuffled."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    for group in _rounds(benchmark, "item_id", "text", part_items)[1]:
+        _, vocabulary = _fitted(rows, group, cosine)
+        docs = docs.where(~_holds(group, vocabulary)(F.col(text)))
+    return docs
+
+
+def _holds(group: list[Items], vocabulary: Vocabulary):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), bool)
+        coded = ((i, vocabulary.ids(word_hashes(x))) for i, x in enumerate(texts))
+        for ids, words, first in _batches(coded, vocabulary.kind):
+            for part in group:
+                for found in part.find(words, first):
+                    out[ids[found[0]]] = True
+        return pd.Series(out)
+
+    return holds
