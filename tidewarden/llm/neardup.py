@@ -20,11 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import settle
+from .store import settle, unused
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -55,14 +55,18 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * over > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp long): one for each row, whatever its id; null and empty texts have 0."""
-
+def _fp(width: int):
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(x, width) for x in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text)).alias("fp"))
+    return fp
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """Rows (doc_id, fp long): one for each row, whatever its id; null and empty texts have 0."""
+
+    return docs.select(F.col(id_col).alias("doc_id"), _fp(width)(F.col(text)).alias("fp"))
 
 
 class Block:
@@ -226,34 +230,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return attach(fps, threshold)
 
 
-def attach(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def _rooted(classes: DataFrame, threshold: int) -> DataFrame:
+    """``classes`` (fp, one row each, and other columns) with ``root``, the smallest fingerprint reachable."""
     roots = components(links(classes.select("fp"), threshold))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = settle(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(roots, classes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    return settle(rooted, "rooted")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: the row of each component with the smallest id stays, in all its columns.
-
-    Rows that repeat an id are one document: one of them stays. Rows without an id stay, one for each distinct row, only
-    where no row with an id shares their component."""
-    found = settle(near_duplicates(docs, id_col, text), "components")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).groupBy("_kept_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = settle(kept, "kept")
-    once = docs.join(kept.where("_rows = 1"), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    more = docs.join(kept.where("_rows > 1"), F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    if alone.isEmpty():
-        return once.unionByName(more)
+def attach(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, fp, component_id) of the rows (doc_id, fp)."""
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    rooted = _rooted(classes, threshold)
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = settle(rooted.join(smallest, "root").select("fp", "component_id", "n"), "by_fp")
+    # Fingerprints that more than a thousandth of all rows share are a thousand at most: their rows aren't shuffled.
+    least = fps.count() // 1000
+    hot = by_fp.where(F.col("n") > least).select("fp", "component_id")
+    cold = by_fp.where(F.col("n") <= least).select("fp", "component_id")
+    of_hot = fps.join(F.broadcast(hot), "fp")
+    of_cold = fps.join(F.broadcast(hot), "fp", "left_anti").join(cold, "fp")
+    return of_hot.unionByName(of_cold).select("doc_id", "fp", "component_id")
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(x) for x in texts], dtype="int64")
 
-    nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text])
-    nameless = nameless.join(alone.select(F.col("fp").alias("_alone")), fp(F.col(text)) == F.col("_alone"), "left_semi")
-    return once.unionByName(more).unionByName(nameless)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row with the smallest id stays, in all its columns.
+
+    Null ids come after all others. Where rows of a component share the smallest id, the one with the smallest hash of its
+    text stays; of rows alike in id and text, one. Null and empty texts are a component like others. Texts go through one
+    shuffle, by a key of id and text, at every size."""
+    keys = [unused(f"_key{i}", docs) for i in range(3)]
+    # Two hashes of id and text are one key of 128 bits, which a null is part of like any value.
+    as_text = F.col(id_col).cast("string")
+    hashes = [F.xxhash64(F.lit(i), as_text.isNull(), as_text, F.col(text)) for i in range(2)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(h.alias(f"h{i}") for i, h in enumerate(hashes)), F.col(text).alias("text"))
+    fps = settle(rows.select("doc_id", "h0", "h1", _fp(SHINGLE)("text").alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h0", "h1"))
+    rooted = _rooted(fps.groupBy("fp").agg(first.alias("least")), THRESHOLD)
+    kept = settle(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.h0", "least.h1"), "kept")
+    kept = kept.select(F.col("h0").alias(keys[0]), F.col("h1").alias(keys[1]))
+    marked = docs.withColumns(dict(zip(keys, hashes, strict=False)))
+    once = Window.partitionBy(*keys[:2]).orderBy(keys[0])
+    unique = marked.withColumn(keys[2], F.row_number().over(once)).where(F.col(keys[2]) == 1)
+    return unique.join(kept.hint("shuffle_hash"), keys[:2], "left_semi").select(docs.columns)

@@ -29,3 +29,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     if spark.sparkContext.master.startswith("local["):
         atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames has it, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
