@@ -1,65 +1,120 @@
 """Exact top-k inner products by no-random-access aggregation (NRA).
 
-Every dimension is a list of the candidates sorted by value; a query reads it from the end that its sign favours. What is
-read of a candidate bounds its score from below (unread lists at their worst) and above (unread lists at the depth
-reached). Reading stops when no candidate outside can reach the k-th lower bound; the scores of what remains are then
-resolved exactly, ties going to smaller ids. Candidates and queries meet in cells of bounded blocks, so no task holds a
-side; the k best of the cells of a query hold its k best over all.
+Every dimension is a list of a block's candidates sorted by value, cut into slices. A query reads each list slice by slice
+from the end that its sign favours, deeper where its component is larger. What is read of a candidate bounds its score:
+unread components lie between the list's far end and the depth reached, and together they can't exceed the product of the
+lengths that the query and the candidate have left (a candidate's length is read first). Reading stops when hardly any
+candidate can still reach the k-th lower bound; the scores of those are then resolved exactly, ties going to smaller ids.
+
+Candidates are dealt to blocks of bounded size, once; queries go to every block, in streams, so no task holds a side. The
+k best of the blocks of a query hold its k best over all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a cell's blocks.
-CANDIDATES, QUERIES = 8192, 1024
-#: Of each list, the share that the first round reads; each round reads four times as much as the one before.
-FIRST_DEPTH = 1 / 16
-#: Queries whose bounds are held at once.
-TOGETHER = 128
+#: Candidates of a block, and queries whose bounds are held at once.
+CANDIDATES, TOGETHER = 16384, 128
+#: Slices of a list.
+SLICES = 4
+#: Shares of a query's squared length that may be unread when its bounds are looked at; the last reads everything.
+UNREAD = (0.1, 0.06, 0.0)
+#: Depths that a query's schedule is chosen from: slices read of the list with its largest component, others in proportion.
+DEPTHS = tuple(SLICES * 2.0 ** (i / 4) for i in range(-8, 29))
+#: What rounding of single-precision sums may hide, as a share of a squared length, or of the product of the lengths.
+SLACK = 2e-5
 
 
 class Lists:
     """The sorted lists of a block of candidates (n x d)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
+        n, _ = x.shape
         self.ids, self.x = ids, x.astype(np.float64)  # whole numbers below 2**53, so sums are exact
-        self.sorted = np.sort(self.x, axis=0)
+        order = np.argsort(x, axis=0, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(n)[:, None], 0)
+        first = [-(-n * i // SLICES) for i in range(SLICES + 1)]
+        slices = [(place >= a) & (place < b) for a, b in zip(first, first[1:], strict=False)]
+        self.member = [m.astype(np.float32).T for m in slices]
+        self.values = [np.where(m, self.x, 0.0).astype(np.float32).T for m in slices]
+        self.squares = [v * v for v in self.values]
+        self.norms = np.square(self.x).sum(1).astype(np.float32)
+        listed = np.take_along_axis(self.x, order, 0)
+        # The edges of the slices, from either end; a list read to its end leaves nothing.
+        self.least = np.vstack([listed[np.minimum(first[:-1], n - 1)], np.zeros_like(listed[:1])])
+        self.most = np.vstack([np.zeros_like(listed[:1]), listed[np.maximum(np.array(first[1:]) - 1, 0)]])
+        self.entries_read = 0
+
+    def levels(self, q: np.ndarray, unread: float) -> np.ndarray:
+        """Slices of each list that each query reads (m x d): the least depth that leaves ``unread`` of its squared length."""
+        size = np.abs(q)
+        share = size / np.maximum(size.max(1, keepdims=True), 1e-300)
+        out, todo = np.full(q.shape, SLICES), np.arange(len(q))
+        for depth in DEPTHS if unread else ():
+            level = np.minimum(SLICES, np.ceil(depth * share[todo])).astype(int)
+            enough = (q[todo] ** 2 * (1 - level / SLICES)).sum(1) <= unread * (q[todo] ** 2).sum(1)
+            out[todo[enough]] = level[enough]
+            todo = todo[~enough]
+        out[q == 0] = SLICES
+        return out
 
-    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """What is known of each candidate after ``depth`` entries of each list from its top, and from its bottom beside
-        that (n x 2d): values read are themselves; those not read are as bad, or as good, as they can still be."""
-        top, bottom = self.sorted[-depth], self.sorted[depth - 1]
-        lower = np.hstack([np.where(self.x >= top, self.x, self.sorted[0]), np.where(self.x <= bottom, self.x, self.sorted[-1])])
-        return lower, np.hstack([np.maximum(self.x, top), np.minimum(self.x, bottom)])
+    def bounds(self, q: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) of the scores (m x n) after reading each list to its level."""
+        m, n = len(q), len(self.ids)
+        up, columns = q > 0, np.arange(q.shape[1])
+        unread = level < SLICES
+        best = np.where(unread, q * np.where(up, self.most[SLICES - level, columns], self.least[level, columns]), 0.0)
+        worst = np.where(unread, q * np.where(up, self.least[0], self.most[SLICES]), 0.0)
+        score, known, squares = (np.zeros((i * m, n), np.float32) for i in (1, 3, 1))
+        for i in range(SLICES):
+            read = np.where(up, i >= SLICES - level, i < level)
+            score += (q * read).astype(np.float32) @ self.values[i]
+            squares += read.astype(np.float32) @ self.squares[i]
+            known += np.vstack([best * read, worst * read, q * q * read]).astype(np.float32) @ self.member[i]
+        high, low, read_q = known[:m], known[m : 2 * m], known[2 * m :]
+        length = np.square(q).sum(1, keepdims=True).astype(np.float32)
+        ends = [(np.abs(x).sum(1, keepdims=True) * SLACK).astype(np.float32) for x in (worst, best)]
+        reach = np.sqrt(np.maximum(0, self.norms - squares) + SLACK * self.norms) * np.sqrt(np.maximum(0, length - read_q) + SLACK * length)
+        reach += SLACK * np.sqrt(length * self.norms)
+        lower = np.maximum(score + (worst.sum(1, keepdims=True).astype(np.float32) - low) - ends[0] - SLACK * np.sqrt(length * self.norms), score - reach)
+        upper = np.minimum(score + (best.sum(1, keepdims=True).astype(np.float32) - high) + ends[1] + SLACK * np.sqrt(length * self.norms), score + reach)
+        return lower, upper
 
     def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int, int]]:
         """(row of the query, id, score) of the k best for each query, ids equal to its own left out.
 
-        Queries are read together, to the same depth; each is done as soon as few enough can still be among its best."""
-        n, q = len(self.ids), queries.astype(np.float64)
-        signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])  # down the lists, and up
-        out: list[tuple[int, int, int]] = []
-        todo, depth = np.arange(len(q)), max(k + 1, int(n * FIRST_DEPTH))
-        while len(todo):
-            depth = min(depth, n)
-            lower, upper = self.read(depth)
-            rest = []
-            for some in np.array_split(todo, -(-len(todo) // TOGETHER)):
-                itself = own[some][:, None] == self.ids[None, :]
-                low = np.where(itself, -np.inf, signed[some] @ lower.T)
-                bar = np.partition(low, max(n - k, 0), axis=1)[:, max(n - k, 0)]
-                alive = (signed[some] @ upper.T >= bar[:, None]) & ~itself  # a tie may still win by its id
-                done = (alive.sum(axis=1) <= max(8 * k, n // 64)) | (depth == n)
+        Each query is done as soon as few enough candidates can still be among its best."""
+        n, out = len(self.ids), []
+        for at in range(0, len(queries), TOGETHER):
+            todo = np.arange(at, min(at + TOGETHER, len(queries)))
+            for unread in UNREAD:
+                if not len(todo):
+                    break
+                q = queries[todo].astype(np.float64)
+                level = self.levels(q, unread)
+                itself = own[todo][:, None] == self.ids[None, :]
+                if unread:
+                    lower, upper = self.bounds(q, level)
+                else:
+                    lower = upper = q @ self.x.T
+                lower = np.where(itself, -np.inf, lower)
+                place = max(n - k, 0)
+                bar = np.partition(lower, place, axis=1)[:, place]
+                alive = (upper >= bar[:, None]) & ~itself  # a tie may still win by its id
+                done = (alive.sum(axis=1) <= max(8 * k, n // 64)) | (not unread)
+                self.entries_read += int(level[done].sum()) * n // SLICES
                 for i in np.flatnonzero(done):
                     left = np.flatnonzero(alive[i])
-                    scores = self.x[left] @ q[some[i]]
-                    out += [(int(some[i]), int(self.ids[left[j]]), int(scores[j])) for j in np.lexsort((self.ids[left], -scores))[:k]]
-                rest.append(some[~done])
-            todo, depth = np.concatenate(rest), depth * 4
+                    scores = self.x[left] @ q[i]
+                    out += [(int(todo[i]), int(self.ids[left[j]]), int(scores[j])) for j in np.lexsort((self.ids[left], -scores))[:k]]
+                todo = todo[~done]
         return out
 
 
@@ -72,39 +127,69 @@ def whole_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+        out[i, : min(len(v), width)] = v[:width]
     return out
 
 
-def top_inner_products(candidates: DataFrame, queries: DataFrame, k: int = 5, candidate_rows: int = CANDIDATES, query_rows: int = QUERIES) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k best candidates (vec_id, v) of each query (vec_id, v) by integer inner
-    product, its own id left out; all, if fewer. Ties go to the smaller id; a repeated id counts as often as it occurs;
-    shorter vectors are zero beyond their end; no candidates or no queries give no rows.
-
-    Each cell gets at most about ``candidate_rows`` + ``query_rows`` vectors. Components up to 2**22 in size are exact."""
-    n, m = candidates.count(), queries.count()
-    across, down = max(1, -(-n // candidate_rows)), max(1, -(-m // query_rows))
-    block = lambda rows: F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")
-    spread = lambda rows: F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
-    right = candidates.select("vec_id", "v", block(across).alias("c")).select("*", spread(down).alias("q"))
-    left = queries.select("vec_id", "v", block(down).alias("q")).select("*", spread(across).alias("c"))
-
-    def cell(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
-        if len(ours) and len(theirs):
-            width = max(ours.v.map(len).max(), theirs.v.map(len).max())
-            asked = ours.vec_id.to_numpy()
-            found = Lists(theirs.vec_id.to_numpy(), _matrix(theirs.v, width)).top(_matrix(ours.v, width), k, asked)
-            rows = [(int(asked[i]), vec_id, score) for i, vec_id, score in found]
+class _Block:
+    """A block as its rows arrive: candidates first, then queries, answered some at a time."""
+
+    def __init__(self, k: int):
+        self.k, self.lists = k, None
+        self.ids: list[int] = []
+        self.vectors: list[np.ndarray] = []
+
+    def close_candidates(self) -> None:
+        if self.lists is None:
+            self.width = max(map(len, self.vectors), default=0)
+            self.lists = Lists(np.array(self.ids, np.int64), _matrix(self.vectors, self.width)) if self.ids else False
+            self.ids, self.vectors = [], []
+
+    def answers(self) -> pd.DataFrame:
+        rows = []
+        if self.lists and self.ids:  # beyond the longest candidate a query meets zeros only
+            asked = np.array(self.ids, np.int64)
+            rows = [(int(asked[i]), c, s) for i, c, s in self.lists.top(_matrix(self.vectors, self.width), self.k, asked)]
+        self.ids, self.vectors = [], []
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    if across == 1:  # one cell has all candidates of a query
-        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.select("query_id", F.row_number().over(place).alias("rank"), "vec_id", "score")
-    merged = found.groupBy("query_id").agg(best.alias("best"))  # k rows from each cell
-    return merged.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+
+def top_inner_products(candidates: DataFrame, queries: DataFrame, k: int = 5, candidate_rows: int = CANDIDATES) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k best candidates (vec_id, v) of each query (vec_id, v) by integer inner
+    product, its own id left out; all, if fewer. Ties go to the smaller id. A repeated candidate counts as often as it
+    occurs; rows that repeat a query's id are one query, of whose scores the k best over all its rows stay. Shorter vectors
+    are zero beyond their end; no candidates or no queries give no rows.
+
+    A block holds about ``candidate_rows`` candidates. Each candidate is sent once, each query to every block. Components up
+    to 2**22 in size are exact."""
+    blocks = max(1, -(-candidates.count() // candidate_rows))
+    nth = F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")  # whatever the ids are, blocks are even
+    right = candidates.select("vec_id", "v", nth.alias("block"), F.lit(False).alias("asks"))
+    left = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"))
+    rows = right.unionByName(left).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, block = None, None
+        for frame in frames:
+            for number, asks, vec_id, v in zip(frame.block, frame.asks, frame.vec_id, frame.v, strict=True):
+                if number != now:
+                    if block:
+                        block.close_candidates()
+                        yield block.answers()
+                    now, block = number, _Block(k)
+                if asks:
+                    block.close_candidates()
+                block.ids.append(vec_id)
+                block.vectors.append(v)
+                if asks and len(block.ids) == TOGETHER:
+                    yield block.answers()
+        if block:
+            block.close_candidates()
+            yield block.answers()
+
+    found = rows.mapInPandas(answer, "query_id long, vec_id long, score long")
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows of a query from each task
+    return found.select("query_id", F.row_number().over(place).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
