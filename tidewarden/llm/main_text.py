@@ -1,11 +1,11 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a tree of elements. What its tag or role declares to be no article text (menus, headers, footers, forms)
-is pruned; so is what its class or id names so (sidebars, notices, adverts, comments), unless it holds most of the text,
-as a wrapper does. Every other node gets its composite text density, the
-characters for each tag, lowered by the share of links; a node's density sum is that of its children. The threshold is
-the least density on the way from the body to the node with the largest sum; from the body down, each subtree whose
-density reaches it gives its node with the largest sum, and that node's text is the page's.
+is pruned. Every other node gets its composite text density, the characters for each tag, lowered by the share of links;
+a node's density sum is that of its children. The threshold is the least density on the way from the body to the node
+with the largest sum; from the body down, each subtree whose density reaches it gives its node with the largest sum, and
+that node's text is the page's. Class and id names only weigh: a block named as a sidebar, notice, advert or comments
+counts for less in its parent's sum, and is left out of a chosen text of which it is the lesser part.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+))|(?=[\s/>]|$))", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -40,7 +41,11 @@ BOILERPLATE = frozenset(
     "share sharing social skyscraper toolbar tags".split()
 )
 HEADERS = frozenset("header topbar".split())
-ARTICLES = frozenset("article main".split())
+ARTICLES = ("article", "main")
+#: Elements that hold running text; their names say nothing about their part in the page.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption".split()) | INLINE
+#: Depth beyond which elements are siblings, as in browsers; share of its density that a named block keeps.
+DEPTH, NAMED = 512, 0.25
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -64,22 +69,31 @@ class Page:
             if name not in INLINE:
                 pieces.append((stack[-1], None))
 
-        n = len(source)
+        n, last, quotes = len(source), source.rfind(">"), True
         while at < n:
-            mark = at
-            while (mark := source.find("<", mark)) >= 0 and not (m := _TOKEN.match(source, mark)):
+            mark, m, end = at, None, 0
+            while 0 <= (mark := source.find("<", mark)) <= last:  # beyond the last > there is no markup
+                if source.startswith("<!--", mark):
+                    end = source.find("-->", mark + 4) + 3
+                    end = end if end > 2 else n
+                elif source.startswith(("<!", "<?"), mark):
+                    end = source.find(">", mark) + 1
+                elif m := quotes and _TAG.match(source, mark) or _LOOSE_TAG.match(source, mark):
+                    quotes = quotes and m.re is _TAG  # once quotation marks don't pair up, they count for nothing
+                    end = m.end()
+                if end:
+                    break
                 mark += 1
-            text = source[at:mark] if mark >= 0 else source[at:]
+            text = source[at:mark] if end else source[at:]
             if text:
                 pieces.append((stack[-1], html_lib.unescape(text) if "&" in text else text))
-            if mark < 0:
+            if not end:
                 return
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            at = end
+            if not m:
                 continue
-            name, attributes = name.lower(), m[3] or m[6] or ""
-            if m[1] or m[4]:
+            name, attributes = m[2].lower(), m[3]
+            if m[1]:
                 if open_tags.get(name):
                     while tag[stack[-1]] != name:
                         close()
@@ -97,8 +111,8 @@ class Page:
                     self.named.append(False)
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else n
+                ends = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(source, at)
+                at = source.find(">", ends.end()) + 1 if ends and ends.end() <= last else n
                 if name not in INLINE:
                     pieces.append((stack[-1], " "))
                 continue
@@ -111,7 +125,7 @@ class Page:
                 while tag[stack[-1]] != "p":
                     close()
                 close()
-            if rivals := SIBLINGS.get(name):
+            if (rivals := SIBLINGS.get(name)) and any(map(open_tags.get, rivals)):
                 depth = next((d for d in range(len(stack) - 1, 0, -1) if tag[stack[d]] in rivals or tag[stack[d]] in HOLDS), 0)
                 if depth and tag[stack[depth]] in rivals:
                     while len(stack) > depth:
@@ -126,8 +140,9 @@ class Page:
                 continue
             if name not in INLINE:
                 pieces.append((i, None))
-            stack.append(i)
-            open_tags[name] = open_tags.get(name, 0) + 1
+            if len(stack) < DEPTH:
+                stack.append(i)
+                open_tags[name] = open_tags.get(name, 0) + 1
 
     @staticmethod
     def _is_boilerplate(name: str, attributes: str, open_tags: dict[str, int]) -> tuple[bool, bool]:
@@ -141,7 +156,7 @@ class Page:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                if name not in ARTICLES:
+                if name not in ARTICLES and name not in PROSE:
                     words = {w.lower() for w in _NAME.findall(value)}
                     named = named or bool(words & BOILERPLATE or words & HEADERS and not inside)
             elif key == "role":
@@ -151,34 +166,32 @@ class Page:
                 return True, False
         return False, named
 
-    def _prune_named(self) -> None:
-        """Prunes the elements whose class or id speaks against them, but none that holds most of the text: that of the
-        page's articles, or without any that of its main element or body."""
+    def _drop_named(self, roots: set[int]) -> None:
+        """Leaves out of the chosen texts the blocks whose class or id speaks against them, but none that holds most of it:
+        of the text in article elements, or without any in the main element or in what was chosen."""
         if not any(self.named):
             return
         parent, tag, n = self.parent, self.tag, len(self.parent)
-        out, within = [False] * n, {x: [False] * n for x in ARTICLES}
+        chosen = [False] * n
         for i in range(n):
-            out[i] = self.pruned[i] or (i > 0 and out[parent[i]])
-            for x, mark in within.items():
-                mark[i] = tag[i] == x or (i > 0 and mark[parent[i]])
-        sizes = [(i, size) for i, text in self.pieces if text and not out[i] and (size := len(text.strip()))]
-        for mark in (within["article"], within["main"], [True] * n):
-            chars = [0] * n
-            for i, size in sizes:
-                if mark[i]:
-                    chars[i] += size
+            chosen[i] = not self.out[i] and (i in roots or i > 0 and chosen[parent[i]])
+        for kind in (*ARTICLES, None):
+            inside, chars = [kind is None] * n, [0] * n
+            for i in range(1, n):
+                inside[i] = inside[i] or tag[i] == kind or inside[parent[i]]
+            for i, text in self.pieces:
+                if text and chosen[i] and inside[i]:
+                    chars[i] += len(text.strip())
             for i in range(n - 1, 0, -1):
                 chars[parent[i]] += chars[i]
             if chars[0]:
                 break
         for i in range(n):
-            if self.named[i] and 2 * chars[i] <= chars[0]:
-                self.pruned[i] = True
+            if self.named[i] and i not in roots and 2 * chars[i] <= chars[0]:
+                self.out[i] = True
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density and density sum of every node; pruned ones have none."""
-        self._prune_named()
         parent, tag, n = self.parent, self.tag, len(self.parent)
         out, link = [False] * n, [False] * n
         for i in range(n):
@@ -208,6 +221,8 @@ class Page:
             c, lc, t, lt = chars[i], linked[i], max(1, tags[i]), links[i]
             base = math.log(c / max(1, c - lc) * lc + body_share * c + math.e)
             density[i] = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1e-9, max(base, 1 + 1e-9)) if c / max(1, lc) * t / max(1, lt) > 1 else 0.0
+            if self.named[i]:
+                density[i], total[i] = density[i] * NAMED, total[i] * NAMED
             if i:
                 total[parent[i]] += density[i]
         self.chars, self.linked = chars, linked
@@ -264,6 +279,7 @@ class Page:
         roots = self.chosen()
         if not roots:
             return ""
+        self._drop_named(roots)
         n = len(self.parent)
         inside = [False] * n
         for i in range(n):
