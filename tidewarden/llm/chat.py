@@ -13,6 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
@@ -43,14 +44,15 @@ def expand(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """Rows (conv_id, example, n_turns, formatted, loss_start, loss_end): the code points from loss_start up to loss_end
     of ``formatted`` are trainable, which is the last turn's text and nothing else.
 
-    Rows go by turn, equal turns by role, then text, null turns first; null roles and texts are empty; null conversation
-    ids form one conversation; repeated rows are turns each. Turns that no reply follows come as a last example without
+    Rows go by turn, equal turns by role, then text, null turns first; null roles and texts are empty; conversation ids may
+    have any type, and each row without one is a conversation of its own; repeated rows are turns each. Turns that no reply follows come as a last example without
     a loss (loss_start and loss_end null), so that every turn is in the output. The conversations are sorted and
     streamed: a task holds one conversation's text so far, never its examples."""
     rows = conversations.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    key = rows.schema["conv_id"].dataType.simpleString()
-    kind = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("n_turns", pa.int64()), ("formatted", pa.large_string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    rows = rows.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text")
+    key = rows.schema["conv_id"].dataType
+    kind = pa.schema([("conv_id", to_arrow_type(key)), ("example", pa.int32()), ("n_turns", pa.int64()), ("formatted", pa.large_string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def examples(batches):
         now, begun, so_far, n, made, open_turns = None, False, "", 0, 0, False
@@ -65,7 +67,7 @@ def expand(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
         for batch in batches:
             for conv_id, _, who, what in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if not begun or conv_id != now:
+                if not begun or conv_id != now or conv_id is None:
                     if open_turns:
                         out.append((now, made, n, so_far, None, None))
                         chars += len(so_far)
@@ -85,15 +87,15 @@ def expand(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
             out.append((now, made, n, so_far, None, None))
         yield flush()
 
-    return rows.mapInArrow(examples, f"conv_id {key}, example int, n_turns long, formatted string, loss_start long, loss_end long")
+    return rows.mapInArrow(examples, f"conv_id {key.simpleString()}, example int, n_turns long, formatted string, loss_start long, loss_end long")
 
 
 def digests(examples: DataFrame) -> DataFrame:
     """Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples) read back from the
     output of :func:`expand`, whose rows must still be in its order: turns from the last and longest example of each
     conversation, losses from the mask of every example; formatted_chars adds up all examples."""
-    key = examples.schema["conv_id"].dataType.simpleString()
-    fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())]
+    key = examples.schema["conv_id"].dataType
+    fields = [("conv_id", to_arrow_type(key)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())]
 
     def read(batches):
         now, last, loss, loss_chars, chars, n = None, None, hashlib.sha256(), 0, 0, 0
@@ -107,8 +109,8 @@ def digests(examples: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for conv_id, formatted, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
-                if last is None or conv_id != now:
+            for conv_id, example, formatted, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "example", "formatted", "loss_start", "loss_end")), strict=True):
+                if example == 0:
                     if last is not None:
                         out.append(close())
                     now, loss, loss_chars, chars, n = conv_id, hashlib.sha256(), 0, 0, 0
@@ -121,4 +123,4 @@ def digests(examples: DataFrame) -> DataFrame:
         rest = [close()] if last is not None else []
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rest], k) for i, (_, k) in enumerate(fields)], names=[x for x, _ in fields])
 
-    return examples.mapInArrow(read, f"conv_id {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    return examples.mapInArrow(read, f"conv_id {key.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")

@@ -108,24 +108,24 @@ ORACLE_SQL = {
     """,
     "op4_chat": f"""
         with rows as (
-            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-            union all values (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')
+            select conv_id, case when conv_id is null then row_number() over () end as alone, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values (-1, null, 0, 'user', '{CONTROL}'), (-1, null, 1, 'assistant', '{CONTROL}')
         ), turns as (
             select *, role = 'assistant' as trained,
-                row_number() over (partition by conv_id order by turn nulls first, role, text) as nth,
-                row_number() over (partition by conv_id order by turn desc nulls last, role desc, text desc) as back,
+                row_number() over (partition by conv_id, alone order by turn nulls first, role, text) as nth,
+                row_number() over (partition by conv_id, alone order by turn desc nulls last, role desc, text desc) as back,
                 12 + length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n')) + 1
                 + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + 10 + 1 as chars
             from rows
         ), sums as (
-            select *, sum(chars) over (partition by conv_id order by nth) as so_far from turns
+            select *, sum(chars) over (partition by conv_id, alone order by nth) as so_far from turns
         )
         select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by nth)) as turns_sha256,
             coalesce(sum(length(text)) filter (where trained), 0)::bigint as loss_chars,
             sha256(coalesce(string_agg(text, '' order by nth) filter (where trained), '')) as loss_sha256,
             sum(so_far) filter (where trained or back = 1)::bigint as formatted_chars,
             count(*) filter (where trained or back = 1) as n_examples
-        from sums group by conv_id
+        from sums group by conv_id, alone
     """,
     "op8_url_rules": f"""
         with p as (
