@@ -34,8 +34,8 @@ NEIGHBOURS, WORTH = 1, 4
 STEM = range(4, 8)
 #: Rows that a task hands on at once.
 BATCH = 20_000
-#: Words between hits of one window; longest quotation; score of a window that only quotes.
-WINDOW, QUOTE_WORDS, QUOTED = 12, 60, 0.4
+#: Words between hits of one window; score of a window that only quotes.
+WINDOW, QUOTED = 12, 0.4
 #: Share of a term's weight left for each edit.
 PER_EDIT = 0.9
 #: Words whose verdict a worker remembers.
@@ -203,25 +203,31 @@ class Weights(dict):
         return got
 
 
-def windows(tokens: list[str], weights: list[float]) -> list[tuple[float, bool]]:
-    """(evidence, quoted only) of each window of hits."""
-    opened, out, last = None, [], None
+def quoted_words(tokens: list[str]) -> list[bool]:
+    """Which words are in quotation marks. A quotation ends at its closing mark, however far; a mark that another opening
+    mark follows before any closing one opens nothing."""
+    out, opened = [False] * len(tokens), None
     for i, token in enumerate(tokens):
-        if opened is None and token[0] in OPENING:
+        opens = token[0] in OPENING
+        if opens:
             opened = i
-        elif opened is not None and i - opened > QUOTE_WORDS:
-            opened = None
-        if weights[i]:
-            quoted = opened is not None and any(c in x for x in tokens[i : opened + QUOTE_WORDS] for c in CLOSING)
-            if last is not None and i - last <= WINDOW:
-                out[-1].append((weights[i], quoted))
-            else:
-                out.append([(weights[i], quoted)])
-            last = i
-        if opened is not None and any(c in token[1 if opened == i else 0 :] for c in CLOSING):
+        if opened is not None and any(c in (token[1:] if opens else token) for c in CLOSING):
+            out[opened : i + 1] = [True] * (i + 1 - opened)
             opened = None
+    return out
+
+
+def windows(tokens: list[str], weights: list[float]) -> list[tuple[float, bool]]:
+    """(evidence, quoted only) of each window of hits."""
+    quoted, out, last = quoted_words(tokens), [], None
+    for i in (i for i, w in enumerate(weights) if w):
+        if last is not None and i - last <= WINDOW:
+            out[-1].append((weights[i], quoted[i]))
+        else:
+            out.append([(weights[i], quoted[i])])
+        last = i
     marked = [(hits, all(q for _, q in hits)) for hits in out]
-    return [(sum(evidence(w) for w, q in hits if quoted or not q), quoted) for hits, quoted in marked]
+    return [(sum(evidence(w) for w, q in hits if only or not q), only) for hits, only in marked]
 
 
 def found_evidence(text: str | None, weights: Weights) -> tuple[float, float]:
@@ -442,5 +448,6 @@ def predict(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "te
 
 
 def accepted(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` without the rows found toxic, in all their columns."""
+    """``docs`` without the rows found toxic, in all their columns, whatever their names. Null and empty texts stay, as the
+    base score is below the bar; repeated rows and null ids are kept as others are."""
     return docs.where(scored(F.col(text), model) < 0.5)
