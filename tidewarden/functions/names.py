@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from tidewarden import dims
+from tidewarden.functions.text import bound
 
 LABEL = r"^[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?$"
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -137,7 +138,7 @@ def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
         F.col("_error").alias("error_code"),
         F.col("_ip").alias("ip"),
     )
-    return df.withColumn("name", name).drop("_host", "_was_url", "_ascii", "_domain", "_ip", "_labels", "_error", "_is_ip", "_suffix")
+    return df.withColumn("name", bound(name)).drop("_host", "_was_url", "_ascii", "_domain", "_ip", "_labels", "_error", "_is_ip", "_suffix")
 
 
 def public_suffix(labels: Column) -> Column:
@@ -198,10 +199,23 @@ def classify(df: DataFrame) -> DataFrame:
         F.when(v4, private4).otherwise(F.col("name.ip.private")).alias("ip_is_private"),
         F.when(F.col("_decoded").isNotNull(), scripts_of(F.col("_decoded"))).when(domain.rlike("[a-z]"), F.array(F.lit("Latin"))).otherwise(F.array().cast("array<string>")).alias("scripts"),
     )
-    return df.withColumn("cls", cls).drop("_kind", "_decoded", "_shown")
+    return df.withColumn("cls", bound(cls)).drop("_kind", "_decoded", "_shown")
+
+
+#: Kinds of spans that a detector may read, and those that lie inside them. Keys of other kinds contain nothing.
+LABEL_SPAN, DELEGATED_SPAN, CONTROLLED_SPAN = "registrant_label", "delegated_span", "controlled_span"
+CONTAINED = {CONTROLLED_SPAN: (DELEGATED_SPAN, LABEL_SPAN)}
+
+
+def scope_contains(outer: Column, inner: Column) -> Column:
+    """Whether whoever read the span ``outer`` has read ``inner`` too."""
+    inside = F.lit(False)
+    for span, parts in CONTAINED.items():
+        inside = inside | ((outer == span) & inner.isin(list(parts)))
+    return (outer != "") & (inner != "") & ((outer == inner) | inside)
 
 
 def independent_scopes(keys: Column) -> Column:
-    """Of an array of name spans, those that no other one contains."""
-    distinct = F.array_distinct(keys)
-    return F.filter(distinct, lambda k: ~F.exists(distinct, lambda o: (o != k) & ((o == k) | o.endswith(F.concat(F.lit("."), k)) | F.contains(o, k))))
+    """Of an array of span kinds, those that no other one contains; empty ones are left out."""
+    distinct = F.array_distinct(F.filter(keys, lambda k: k != ""))
+    return F.filter(distinct, lambda k: ~F.exists(distinct, lambda o: (o != k) & scope_contains(o, k)))

@@ -65,10 +65,17 @@ def minimal_matches(s: Column, words: list[str]) -> Column:
 
 
 def encoding_alphabet(label: Column) -> Column:
-    """hex, base32 or base64 if a label of at least eight characters looks encoded, else null."""
-    long = F.length(label) >= 8
-    return (
-        F.when(long & label.rlike("^[0-9a-f]+$") & label.rlike("[0-9]"), "hex")
-        .when(long & label.rlike("^[a-z2-7]+$") & ~F.substring(label, 1, 12).rlike("[aeiou]"), "base32")
-        .when(long & label.rlike("^[a-z0-9_-]+$") & (ratio_of(label, VOWELS) < 0.15), "base64")
-    )
+    """hex, base32 or base64ish if a label of at least eight characters looks encoded, else null."""
+    letters = count_of(label, "a-z")
+    rare = (letters > 0) & (count_of(label, VOWELS) / F.greatest(letters, F.lit(1)) < 0.15)
+    return F.when(F.length(label) >= 8, (
+        F.when(label.rlike("^[0-9a-f]+$"), "hex")
+        .when(label.rlike("^[a-z2-7]+$") & ~F.substring(label, 1, 12).rlike(f"[{VOWELS}]"), "base32")
+        .when(label.rlike("^[a-z0-9+/=_-]+$") & rare, "base64ish")
+    ))
+
+
+def bound(x: Column) -> Column:
+    """The same value, evaluated once: as the optimiser can't know that the condition holds for every row, it copies no part
+    of the value into the expressions that use it."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)

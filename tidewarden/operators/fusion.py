@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.functions.names import independent_scopes
+from tidewarden.functions.text import bound
 from tidewarden.policy import POLICY, Policy
 
 SIGNALS = ("ti", "dga", "lexical", "tunnel", "behavioral")
@@ -34,12 +35,46 @@ def _step(step, least: float):
     return after
 
 
+def prose(names: Column) -> Column:
+    """"a", "a and b", "a, b and c"; empty without names."""
+    n = F.size(names)
+    most = F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n == 0, "").when(n == 1, F.try_element_at(names, F.lit(1))).otherwise(F.concat(most, F.lit(" and "), F.try_element_at(names, F.lit(-1))))
+
+
+def advice(decision: Column, verdict: Column, dga: Column, contributing: Column, informed: Column) -> Column:
+    """What to do about a name, in a sentence or two: by decision, then by what the decision rests on."""
+    named, trusted = prose(contributing), verdict == "TRUSTED"
+    blocked = F.when(verdict == "MALICIOUS", "Block: a listed malicious name. Isolate the hosts that asked for it and look for others of the same campaign.").otherwise(
+        "Block and raise an alert: no list knows this name yet, so it is a candidate for one."
+    )
+    watched = F.when(dga >= 50, "Allow and watch: the name looks generated. Compare how often and when it is asked for.").otherwise(
+        "Allow and watch: the evidence is mixed. Look again if it comes back or more hosts ask for it."
+    )
+    allowed = (
+        F.when((F.size(contributing) > 0) & trusted, F.concat(F.lit("Allow: a trusted name, though risk was reported by "), named, F.lit("; look again if it comes back.")))
+        .when(F.size(contributing) > 0, F.concat(F.lit("Allow: risk was reported by "), named, F.lit(", but too little to act on.")))
+        .when(~informed, "Allow: nothing is known about this name, which is no proof of safety.")
+        .when(trusted, "Allow: a trusted name.")
+        .otherwise("Allow: whatever could judge this name found no risk.")
+    )
+    return F.when(decision == "BLOCK", blocked).when(decision == "MONITOR", watched).otherwise(allowed)
+
+
 def let(x: Column, f) -> Column:
     """f(x) with x evaluated, and written into the plan, once."""
     return F.element_at(F.transform(F.array(x), lambda v: f(v)), 1)
 
 
-def assess(df: DataFrame, policy: Policy = POLICY, fence=lambda df: df) -> DataFrame:
+# The code of each override's factor.
+OVERRIDES = {
+    "ti_malicious_floor": "OVERRIDE_TI_MALICIOUS", "brand_impersonation_floor": "OVERRIDE_BRAND", "corroboration_bonus": "OVERRIDE_CORROBORATION", "tld_dga_bonus": "OVERRIDE_TLD_DGA",
+    "corroborated_floor": "OVERRIDE_CORROBORATED_FLOOR", "ti_trusted_ceiling": "OVERRIDE_TRUSTED_CEILING", "clamp": "OVERRIDE_CLAMP", "allowlist_set_aside": "OVERRIDE_ALLOWLIST_SET_ASIDE",
+}
+NAMES = {"ti": "threat_intel"}
+
+
+def assess(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """Adds ``assessment``: struct(score, raw_score, classification, decision, confidence, coverage, factors, overrides).
 
     ``df`` has a signal column for each detector; a null signal abstains."""
@@ -73,7 +108,7 @@ def assess(df: DataFrame, policy: Policy = POLICY, fence=lambda df: df) -> DataF
         lone = F.array(F.struct(F.lit(n.upper()).alias("code"), F.lit(n).alias("signal"), F.lit("info").alias("severity"), part.alias("raw_points"), part.alias("contribution")))
         return F.when(F.size(factors) > 0, dealt).otherwise(F.when(part > 0, lone).otherwise(F.filter(lone, lambda x: F.lit(False))))
 
-    df = fence(df.withColumn("_factors", F.flatten(F.array(*(shares(n) for n in SIGNALS)))))
+    df = df.withColumn("_factors", bound(F.flatten(F.array(*(shares(n) for n in SIGNALS)))))
     names, conf = list(SIGNALS), {n: F.col(f"_c_{n}") for n in SIGNALS}
     strong = F.filter(
         F.array(*(F.when((conf[n] > 0) & (s[n][0] >= p["corroboration"][0]), F.coalesce(F.nullif(F.col(f"{n}.scope_key"), F.lit("")), F.lit(f"#{n}"))) for n in names)),
@@ -83,22 +118,16 @@ def assess(df: DataFrame, policy: Policy = POLICY, fence=lambda df: df) -> DataF
     def counts_for(n: str):
         return lambda f: (f["signal"] == n) & (f["contribution"] > 0)
 
-    single_codes = F.coalesce(
-        *(
-            F.when(
-                (conf[n] > 0) & (s[n][0] >= p["single"][0]),
-                F.size(F.array_distinct(F.transform(F.filter("_factors", counts_for(n)), lambda f: f["code"]))),
-            )
-            for n in names
-        ),
-        F.lit(0),
-    )
+    several = F.lit(False)
+    for n in names:
+        codes = F.array_distinct(F.transform(F.filter("_factors", counts_for(n)), lambda f: f["code"]))
+        several = several | ((conf[n] > 0) & (s[n][0] >= p["single"][0]) & (F.size(codes) >= p["single"][1]))
     steps = [
         ("ti_malicious_floor", lambda x: F.when(malicious & (conf["ti"] >= p["ti_floor_confidence"]), F.greatest(x, F.lit(float(p["ti_floor"]))))),
         ("brand_impersonation_floor", lambda x: F.when(has("lexical", "BRAND_IMPERSONATION"), F.greatest(x, F.lit(float(p["brand_floor"]))))),
         ("corroboration_bonus", lambda x: F.when(F.size(independent_scopes(strong)) >= 2, x + p["corroboration"][1])),
         ("tld_dga_bonus", lambda x: F.when(has("lexical", "SUSPICIOUS_TLD") & (s["dga"][0] >= 100 * p["tld_dga"][0]) & (conf["dga"] > 0), x + p["tld_dga"][1])),
-        ("corroborated_floor", lambda x: F.when(single_codes >= p["single"][1], F.greatest(x, F.lit(float(p["single"][2]))))),
+        ("corroborated_floor", lambda x: F.when(several, F.greatest(x, F.lit(float(p["single"][2]))))),
         ("ti_trusted_ceiling", lambda x: F.when(trusted & ~F.col("_aside"), F.least(x, F.lit(float(p["trusted_ceiling"]))))),
         ("clamp", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))),
     ]
@@ -107,21 +136,24 @@ def assess(df: DataFrame, policy: Policy = POLICY, fence=lambda df: df) -> DataF
         before = F.col(f"_s{i - 1}")
         df = df.withColumn(f"_s{i}", let(before, _step(step, p["least_move"])))
         delta = F.col(f"_s{i}") - before
-        moved.append(F.when(delta != 0, F.struct(F.lit(name).alias("code"), F.lit("override").alias("signal"), F.lit("info").alias("severity"), delta.alias("raw_points"), delta.alias("contribution"))))
-    marker = F.when(F.col("_aside"), F.struct(F.lit("ALLOWLIST_SET_ASIDE").alias("code"), F.lit("override").alias("signal"), F.lit("info").alias("severity"), F.lit(0.0).alias("raw_points"), F.lit(0.0).alias("contribution")))
-    df = fence(df.withColumn("_moved", F.filter(F.array(*moved, marker), lambda f: f.isNotNull())))
+        moved.append(F.when(delta != 0, F.struct(F.lit(OVERRIDES[name]).alias("code"), F.lit("override").alias("signal"), F.lit("info").alias("severity"), delta.alias("raw_points"), delta.alias("contribution"))))
+    marker = F.when(F.col("_aside"), F.struct(F.lit(OVERRIDES["allowlist_set_aside"]).alias("code"), F.lit("override").alias("signal"), F.lit("info").alias("severity"), F.lit(0.0).alias("raw_points"), F.lit(0.0).alias("contribution")))
+    df = df.withColumn("_moved", bound(F.filter(F.array(*moved, marker), lambda f: f.isNotNull())))
     ordered = F.transform(F.concat("_factors", "_moved"), lambda f, i: F.struct((-f["contribution"]).alias("k"), i.alias("i"), f.alias("f")))
     ordered = F.transform(F.array_sort(ordered), lambda x: x["f"])
     nothing = F.array(F.struct(F.lit("NO_EVIDENCE").alias("code"), F.lit("none").alias("signal"), F.lit("info").alias("severity"), F.lit(0.0).alias("raw_points"), F.lit(0.0).alias("contribution")))
     raw = F.col(f"_s{len(steps)}")
     confidence = F.greatest(*conf.values())
+    names_of = F.create_map(*(F.lit(x) for name, code in OVERRIDES.items() for x in (code, name)))
+    contributing = F.filter(F.array(*(F.when(weight[n] * s[n][0] > 0, NAMES.get(n, n)) for n in SIGNALS)), lambda x: x.isNotNull())
     assessment = F.struct(
         F.bround(raw, 0).cast("int").alias("score"), raw.alias("raw_score"), band(raw, 0, policy).alias("classification"), band(raw, 1, policy).alias("decision"),
         confidence.alias("confidence"), (F.col("_w") / sum(w.values())).alias("coverage"),
         F.when(F.col("_w") > 0, ordered).otherwise(F.concat(ordered, nothing)).alias("factors"),
-        F.transform(F.filter("_moved", lambda f: f["code"] != "clamp"), lambda f: f["code"]).alias("overrides"),
+        F.transform(F.filter("_moved", lambda f: f["code"] != OVERRIDES["clamp"]), lambda f: F.element_at(names_of, f["code"])).alias("overrides"),
+        advice(band(raw, 1, policy), F.coalesce("ti.verdict", F.lit("UNKNOWN")), s["dga"][0], contributing, F.col("_w") > 0).alias("recommendation"),
     )
-    return df.withColumn("assessment", assessment).drop("_aside", "_w", "_factors", "_moved", *(f"_c_{n}" for n in SIGNALS), *(f"_s{i}" for i in range(len(steps) + 1)))
+    return df.withColumn("assessment", bound(assessment)).drop("_aside", "_w", "_factors", "_moved", *(f"_c_{n}" for n in SIGNALS), *(f"_s{i}" for i in range(len(steps) + 1)))
 
 
 def top_factors(factors: Column, k: int = 5) -> Column:

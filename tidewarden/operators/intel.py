@@ -50,3 +50,11 @@ def lookup(names: DataFrame, known: DataFrame, domain: str = "domain", registrab
     found = best.select("_d", F.struct(F.col("_hit.verdict").alias("verdict"), F.col("_hit.indicator").alias("indicator"), F.when(parent, "PARENT_DOMAIN").otherwise("EXACT").alias("match_type"), F.col("_hit.categories").alias("categories"), confidence.alias("confidence")).alias("_intel"))
     none = F.struct(F.lit("UNKNOWN").alias("verdict"), F.lit(None).cast("string").alias("indicator"), F.lit(None).cast("string").alias("match_type"), F.array().cast("array<string>").alias("categories"), F.lit(0.0).alias("confidence"))
     return names.join(found, names[domain] == found["_d"], "left").withColumn("intel", F.coalesce("_intel", none)).drop("_d", "_intel")
+
+
+def statistics(indicators: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Rows (what, name, n): how many names each verdict and each category has; trusted names are a verdict of their own."""
+    count = F.count(F.lit(1)).alias("n")
+    verdicts = indicators.select("verdict").unionByName(trusted.select(F.lit("TRUSTED").alias("verdict"))).groupBy(F.lit("verdict").alias("what"), F.col("verdict").alias("name")).agg(count)
+    categories = indicators.select(F.explode("categories").alias("name")).groupBy(F.lit("category").alias("what"), "name").agg(count)
+    return verdicts.unionByName(categories).orderBy("what", "name")

@@ -32,13 +32,14 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def bigram_model(labels: DataFrame, column: str = "label") -> dict:
-    """{log_probs, uniform, mean, std}: 38 x 38 numbers and the corpus' mean and population deviation under them."""
+    """{log_probs, uniform, mean, std}: 38 x 38 numbers and the corpus' mean and population deviation under them. The corpus
+    is scored with its digits, which names are scored without, as the model that this one follows does."""
     from tidewarden.operators.scorers import bigram_llr
 
     table = log_probabilities(pair_counts(labels, column))
     log_probs = {r["prev"] + r["next"]: r["log_prob"] for r in table.collect()}  # 38 x 38
     uniform = -math.log(len(ALPHABET) + 1)
-    scored = labels.select(bigram_llr(F.lower(column), log_probs, uniform).alias("x"))
+    scored = labels.select(bigram_llr(F.lower(column), log_probs, uniform, digits=True).alias("x"))
     r = scored.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).first()
     return {"log_probs": log_probs, "uniform": uniform, "mean": r["mean"] or 0.0, "std": r["std"] or 1.0}
 

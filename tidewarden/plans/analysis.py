@@ -17,14 +17,8 @@ def default_model(spark) -> dict:
     return training.bigram_model(spark.createDataFrame([(w,) for w in dims.WORDS], "label string"))
 
 
-def fence(df: DataFrame) -> DataFrame:
-    """The rows as they are, behind an Arrow pass that the optimiser doesn't inline expressions across: stages refer to
-    each other's columns many times over, and inlined plans grow beyond use."""
-    return df.mapInArrow(lambda batches: batches, df.schema)
-
-
 def features(df: DataFrame, raw: str = "raw") -> DataFrame:
-    return fence(featurize(fence(classify(fence(canonicalize(df, raw))))))
+    return featurize(classify(canonicalize(df, raw)))
 
 
 def analyze(df: DataFrame, raw: str = "raw", query_type: str | None = None, history: DataFrame | None = None, known: DataFrame | None = None, model: dict | None = None, policy: Policy = POLICY) -> DataFrame:
@@ -41,8 +35,8 @@ def analyze(df: DataFrame, raw: str = "raw", query_type: str | None = None, hist
     else:
         out = out.withColumns({c: F.lit(0) for c in scorers.HISTORY})
     out = scorers.behavioral(out, policy).drop(*scorers.HISTORY, "_domain", "_registrable", "max_risk")
-    out = scorers.lexical(scorers.dga(scorers.intel(fence(out), policy), model or default_model(spark), policy), policy)
-    return fusion.assess(fence(scorers.tunnel(fence(out), query_type, policy)), policy, fence)
+    out = scorers.lexical(scorers.dga(scorers.intel(out, policy), model or default_model(spark), policy), policy)
+    return fusion.assess(scorers.tunnel(out, query_type, policy), policy)
 
 
 def capture_report(queries: DataFrame, limit: int | None = None, model: dict | None = None, policy: Policy = POLICY) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewarden import dims
 from tidewarden.functions import text as T
 from tidewarden.operators import history, intel, scorers, training
-from tidewarden.plans import analysis, dashboards
+from tidewarden.plans import analysis, dashboards, names_catalog
 from tidewarden.plans.views import DNS_EVENTS_SQL, PAGE_HOSTS_SQL, dns_events, page_hosts
 
 #: The test events are sparse, so history looks back a day.
@@ -53,11 +53,6 @@ def _intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("domain", "intel.verdict", "intel.indicator", "intel.match_type", F.round("intel.confidence", 6).alias("confidence"))
 
 
-def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = analysis.analyze(_hosts(spark, sf_dir))
-    return out.select("raw", "pages", "assessment.score", F.round("assessment.raw_score", 6).alias("raw_score"), "assessment.classification", "assessment.decision", F.to_json("assessment.overrides").alias("overrides"))
-
-
 def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lower("p_name").alias("p_name"))
     near = F.levenshtein("p_name", F.lit("almond antique"), 8)
@@ -134,12 +129,11 @@ def queries() -> dict:
         "client_behaviour": _client_behaviour,
         "host_features": _features,
         "intel_lookup": _intel,
-        "assessed_hosts": _assessed,
         "keyword_matches": _keywords,
         "bigram_counts": _bigrams,
         "bigram_log_probs": _log_probs,
         "capture_sources": _capture,
-    }
+    } | names_catalog.queries()
 
 
 def _dns(select: str) -> str:
@@ -239,7 +233,7 @@ ORACLE_SQL = {
             case when len(labels) = 1 then case when raw in ({_LOCAL}) then 'LOCAL_NAME' else 'SINGLE_LABEL' end when labels[-1] in ({_LOCAL}) then 'LOCAL_NAME' else 'REGISTRY_DOMAIN' end as kind,
             len(labels)::int as labels,
             round((select -sum(p * log2(p)) from (select count(*) / length(flat) as p from (select unnest(string_split(flat, '')) as c) group by c)), 6) as entropy,
-            round(length(regexp_replace(flat, '[^0-9]', '', 'g')) / length(flat), 6) as digit_ratio, round(length(regexp_replace(flat, '[^aeiou]', '', 'g')) / length(flat), 6) as vowel_ratio,
+            round(length(regexp_replace(flat, '[^0-9]', '', 'g')) / length(flat), 6) as digit_ratio, round(length(regexp_replace(flat, '[^aeiou]', '', 'g')) / length(regexp_replace(flat, '[^a-z]', '', 'g')), 6) as vowel_ratio,
             coalesce(list_max(list_transform(regexp_extract_all(flat, '[0-9]+'), lambda x: length(x))), 0) as digit_run, list_max(list_transform(labels, lambda x: length(x))) as max_label_length
         from named"""),
     "intel_lookup": _pages(_SPLIT + f"""
@@ -264,3 +258,4 @@ ORACLE_SQL["bigram_log_probs"] = f"""
     ), totals as (select prev, sum(n) as total from counts group by 1)
     select g.prev, g.next, round(ln((coalesce(n, 0) + 0.1) / (coalesce(total, 0) + 0.1 * 38)), 6) as log_prob from grid g left join counts c on g.prev = c.prev and g.next = c.next left join totals t on g.prev = t.prev
 """
+ORACLE_SQL |= names_catalog.ORACLE_SQL

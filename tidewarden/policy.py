@@ -14,7 +14,7 @@ DEFAULT: dict[str, Any] = {
     "intel": {"malicious": 95, "suspicious": 60, "trusted": 0, "parent_factor": 0.9, "trusted_confidence": 0.9, "trusted_parent_confidence": 0.85},
     "dga": {
         "bigram": 1.1, "coverage": 2.0, "coverage_mid": 0.5, "digits": 3.0, "digits_mid": 0.10, "bias": -2.2, "z_low": -3.0, "z_high": 6.0,
-        "full_length": 10, "high": 0.8, "moderate": 0.5, "long": 8, "short": 5, "confidence": [0.8, 0.55, 0.3],
+        "full_length": 10, "high": 0.8, "moderate": 0.5, "word_composed": None, "long": 8, "short": 5, "confidence": [0.8, 0.55, 0.3],
     },
     "tunnel": {
         "long_subdomain": [40, 28], "long_label": [30, 24], "entropy": [3.8, 22], "entropy_min_length": 30, "many_labels": [5, 14],
