@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-"
@@ -45,7 +45,15 @@ def bigram_model(labels: DataFrame, column: str = "label") -> dict:
 
 
 def separation(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """For each family: mean, median (the element at n // 2), and the share from the threshold on."""
-    ordered = F.sort_array(F.collect_list("score"))  # a held-out sample
-    out = scored.groupBy("family").agg(F.avg("score").alias("mean"), ordered.alias("s"), F.avg((F.col("score") >= threshold).cast("int")).alias("share"))
-    return out.select("family", "mean", F.element_at("s", (F.size("s") / 2).cast("int") + 1).alias("median"), "share")
+    """For each family: mean, median (the element at n // 2), and the share from the threshold on.
+
+    Approximate quantiles bracket each median, so that only a sliver of a family's scores is ranked."""
+    rows = scored.where("score is not null").select("family", "score")
+    near = F.percentile_approx("score", [0.49, 0.51], 10000)
+    out = rows.groupBy("family").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"), near.alias("near"), F.avg((F.col("score") >= threshold).cast("int")).alias("share"))
+    inside = rows.join(F.broadcast(out.select("family", "n", "near")), "family")  # one row a family
+    below = inside.groupBy("family").agg(F.count_if(F.col("score") < F.element_at("near", 1)).alias("below"))
+    place = Window.partitionBy("family").orderBy("score")
+    ranked = inside.where(F.col("score").between(F.element_at("near", 1), F.element_at("near", 2))).withColumn("nth", F.row_number().over(place) - 1)
+    middle = ranked.join(F.broadcast(below), "family").where(F.col("nth") + F.col("below") == F.floor(F.col("n") / 2)).select("family", F.col("score").alias("median"))
+    return out.join(middle, "family").select("family", "mean", "median", "share")

@@ -39,8 +39,9 @@ def analyze(df: DataFrame, raw: str = "raw", query_type: str | None = None, hist
     return fusion.assess(scorers.tunnel(out, query_type, policy), policy)
 
 
-def capture_report(queries: DataFrame, limit: int | None = None, model: dict | None = None, policy: Policy = POLICY) -> dict[str, DataFrame]:
-    """Tables of a capture (domain, query_type, source_ip, is_response, seq): findings, sources, types and totals.
+def capture_report(queries: DataFrame, limit: int | None = None, findings: int = 100, rejected: int = 25, model: dict | None = None, policy: Policy = POLICY) -> dict[str, DataFrame]:
+    """Tables of a capture (domain, query_type, source_ip, is_response, seq): the ``findings`` names of highest risk, sources,
+    types, totals (one row), and the first names that are none, ``rejected``, in order of arrival.
 
     Questions count, not responses, unless there are only responses. ``limit``: names scored, in order of arrival."""
     asked = queries.agg(F.coalesce(F.bool_or(~F.col("is_response")), F.lit(False)).alias("_any"))  # one row
@@ -51,19 +52,28 @@ def capture_report(queries: DataFrame, limit: int | None = None, model: dict | N
         names = names.orderBy("seq").limit(limit)
     judged = analyze(names, "key", model=model, policy=policy)
     codes = F.transform("assessment.factors", lambda f: f["code"])
-    findings = judged.select(
-        "key", "name.error_code", "assessment.score", "assessment.classification", "assessment.decision", F.arrays_overlap(codes, F.array(F.lit("DGA_HIGH"), F.lit("DGA_MODERATE"))).alias("is_generated"),
-        (F.col("tunnel.confidence") > 0).alias("is_tunnel"), (~F.col("intel.verdict").isin("UNKNOWN", "TRUSTED")).alias("is_listed"),
+    judged = judged.select(
+        "key", "seq", "name.error_code", F.col("name.domain").alias("domain"), "name.registrable_domain", F.col("cls.kind").alias("name_kind"), "assessment.score", "assessment.classification", "assessment.decision",
+        F.col("intel.verdict").alias("verdict"), F.round("dga.score", 1).alias("dga_score"), F.arrays_overlap(codes, F.array(F.lit("DGA_HIGH"), F.lit("DGA_MODERATE"))).alias("is_generated"),
+        F.round("tunnel.score", 1).alias("tunnel_score"), (F.size("tunnel_indicators") > 0).alias("is_tunnel"), "tunnel_indicators",
     )
-    back = rows.join(findings, "key", "left")
+    valid = judged.where("error_code is null")
+    back = rows.join(valid.select("key", "decision"), "key", "left")
+    count, decided = F.count(F.lit(1)), lambda d: F.count_if(F.col("decision") == d)
     sources = back.groupBy(F.coalesce("source_ip", F.lit("unknown")).alias("source_ip")).agg(
-        F.count(F.lit(1)).alias("queries"), F.count_distinct("key").alias("domains"), F.count_if(F.col("decision") == "BLOCK").alias("blocked"),
-        F.count_if(F.col("decision") == "MONITOR").alias("monitored"), F.count_if(F.col("decision") == "ALLOW").alias("allowed"),
+        count.alias("queries"), F.count_distinct("key").alias("domains"), decided("BLOCK").alias("blocked"), decided("MONITOR").alias("monitored"), decided("ALLOW").alias("allowed"),
     )
     sources = sources.withColumn("threat_rate", F.round(100 * F.col("blocked") / F.col("queries"), 1)).orderBy(F.desc("blocked"), F.desc("queries"), "source_ip")
-    types = rows.groupBy("query_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "query_type")
-    total = findings.agg(
-        F.count(F.lit(1)).alias("names"), F.count_if(F.col("error_code").isNotNull()).alias("rejected"), F.count_if("is_generated").alias("generated"),
-        F.count_if("is_tunnel").alias("tunnels"), F.count_if("is_listed").alias("listed"), F.count_if(F.col("decision") == "BLOCK").alias("blocked"),
+    types = rows.groupBy("query_type").agg(count.alias("n")).orderBy(F.desc("n"), "query_type")
+    classed = lambda c: F.count_if(F.col("classification") == c)
+    total = judged.groupBy().agg(
+        count.alias("names"), F.count_if(F.col("error_code").isNotNull()).alias("rejected"),
+        *(F.count_if(F.col("error_code").isNull() & x).alias(n) for n, x in (
+            ("malicious", F.col("classification") == "MALICIOUS"), ("suspicious", F.col("classification") == "SUSPICIOUS"), ("safe", F.col("classification") == "SAFE"), ("blocked", F.col("decision") == "BLOCK"),
+            ("monitored", F.col("decision") == "MONITOR"), ("generated", F.col("is_generated")), ("tunnels", F.col("is_tunnel")), ("listed", F.col("verdict").isin("MALICIOUS", "SUSPICIOUS")),
+        )),
     )
-    return {"findings": findings.orderBy(F.desc("score"), "key"), "sources": sources, "types": types, "totals": total}
+    return {
+        "findings": valid.drop("error_code", "seq").orderBy(F.desc("score"), "key").limit(findings), "sources": sources, "types": types,
+        "totals": total.crossJoin(rows.agg(count.alias("queries"))), "rejected": judged.where("error_code is not null").orderBy("seq").select("key", "error_code").limit(rejected),
+    }

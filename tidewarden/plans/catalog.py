@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewarden import dims
 from tidewarden.functions import text as T
 from tidewarden.operators import history, intel, scorers, training
-from tidewarden.plans import analysis, dashboards, names_catalog
+from tidewarden.plans import analysis, dashboards, feeds_catalog, names_catalog
 from tidewarden.plans.views import DNS_EVENTS_SQL, PAGE_HOSTS_SQL, dns_events, page_hosts
 
 #: The test events are sparse, so history looks back a day.
@@ -79,12 +79,6 @@ def _client_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.client_behaviour(e, _now(e), 30 * DAY)
 
 
-def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = dns_events(spark, sf_dir).where("event_type = 'dns'")
-    rows = e.select("domain", "query_type", F.col("client_address").alias("source_ip"), (F.col("id") % 2 == 0).alias("is_response"), F.col("id").alias("seq"))
-    return analysis.capture_report(rows)["sources"]
-
-
 def _hourly(column: str, values: list[str]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = dns_events(spark, sf_dir)
@@ -132,8 +126,7 @@ def queries() -> dict:
         "keyword_matches": _keywords,
         "bigram_counts": _bigrams,
         "bigram_log_probs": _log_probs,
-        "capture_sources": _capture,
-    } | names_catalog.queries()
+    } | names_catalog.queries() | feeds_catalog.queries()
 
 
 def _dns(select: str) -> str:
@@ -258,4 +251,4 @@ ORACLE_SQL["bigram_log_probs"] = f"""
     ), totals as (select prev, sum(n) as total from counts group by 1)
     select g.prev, g.next, round(ln((coalesce(n, 0) + 0.1) / (coalesce(total, 0) + 0.1 * 38)), 6) as log_prob from grid g left join counts c on g.prev = c.prev and g.next = c.next left join totals t on g.prev = t.prev
 """
-ORACLE_SQL |= names_catalog.ORACLE_SQL
+ORACLE_SQL |= names_catalog.ORACLE_SQL | feeds_catalog.ORACLE_SQL

@@ -133,10 +133,35 @@ def loopback_only(client, mode: str = "none"):
     return {"always": client, "loopback_only": F.when(local, client)}.get(mode, F.lit(None).cast("string"))
 
 
-def gateway_reply(decision, policy_rcode: str = "NXDOMAIN", upstream_rcode=None, parsed=None):
-    """The response code a query gets: FORMERR if unreadable, the policy's if blocked, else the upstream's or SERVFAIL."""
+def gateway_outcome(decision, readable=None, has_question=None, is_query=None, error_code=None, cached=None, upstream_rcode=None, policy_rcode: str = "NXDOMAIN"):
+    """struct(rcode, blocked, from_cache, logged) of a query: FORMERR if unreadable or without a question, NOTIMP for other
+    operations, REFUSED (and counted as blocked, but not logged) for names that can't be judged, the policy's answer if
+    blocked; else the cached answer, the upstream's, or SERVFAIL if there is none. Columns not given: all is well."""
     if policy_rcode not in ("NXDOMAIN", "REFUSED"):
         raise ValueError(f"no such block policy: {policy_rcode}")
-    readable = F.lit(True) if parsed is None else parsed
-    upstream = F.lit(None).cast("string") if upstream_rcode is None else upstream_rcode
-    return F.when(~readable, "FORMERR").when(decision == "BLOCK", policy_rcode).otherwise(F.coalesce(upstream, F.lit("SERVFAIL")))
+    yes, none = F.lit(True), F.lit(None).cast("string")
+    readable, has_question, is_query = (F.coalesce(yes if x is None else x, F.lit(False)) for x in (readable, has_question, is_query))
+    invalid = F.lit(False) if error_code is None else error_code.isNotNull()
+    hit = F.lit(False) if cached is None else F.coalesce(cached, F.lit(False))
+    judged = readable & has_question & is_query & ~invalid
+    rcode = (
+        F.when(~readable | ~has_question, "FORMERR").when(~is_query, "NOTIMP").when(invalid, "REFUSED").when(decision == "BLOCK", policy_rcode)
+        .when(hit, "NOERROR").otherwise(F.coalesce(none if upstream_rcode is None else upstream_rcode, F.lit("SERVFAIL")))
+    )
+    blocked = readable & has_question & is_query & (invalid | (decision == "BLOCK"))
+    return F.struct(rcode.alias("rcode"), blocked.alias("blocked"), (judged & hit & (decision != "BLOCK")).alias("from_cache"), judged.alias("logged"))
+
+
+def shares(events: DataFrame, column: str) -> DataFrame:
+    """Rows (column, n, share): counts and percentages of all, most frequent first."""
+    counts = events.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(column, "n", F.round(100 * F.col("n") / F.col("_total"), 1).alias("share")).orderBy(F.desc("n"), column)
+
+
+def reason(verdict, codes):
+    """The shortest true statement on why a name was blocked or watched, by precedence."""
+    return (
+        F.when(verdict == "MALICIOUS", "listed as malicious").when(F.array_contains(codes, "DNS_TUNNEL_INDICATORS"), "possible tunnel").when(F.array_contains(codes, "BEHAVIORAL_ANOMALY"), "odd behaviour")
+        .when(F.array_contains(codes, "DGA_HIGH"), "generated name").when(F.array_contains(codes, "BRAND_IMPERSONATION"), "imitates a brand").when(verdict == "SUSPICIOUS", "listed as suspicious").otherwise("score over the bar")
+    )

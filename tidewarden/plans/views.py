@@ -10,7 +10,12 @@ from tidewarden.operators.fusion import band
 
 def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table: one row for each decision."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", F.col("event_type").alias("source_type"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return as_dns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_dns(events: DataFrame) -> DataFrame:
+    """Raw events, stored or streamed, as decisions on names."""
+    e = events.select("event_id", "ts", "user_id", F.col("event_type").alias("source_type"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     dns = F.col("source_type") != "signup"
     e = e.withColumn("risk_score", F.least(F.lit(100), F.floor("value").cast("int")))
     e = e.withColumns({"classification": band(F.col("risk_score").cast("double"), 0), "decision": band(F.col("risk_score").cast("double"), 1)})

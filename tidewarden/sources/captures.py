@@ -180,7 +180,11 @@ def read_captures(spark: SparkSession, path: str, max_bytes: int | None = None,
 
     A file that is none, or is larger than ``max_bytes``, has one row with ``error`` (UNKNOWN_FORMAT, TOO_SHORT, TOO_LARGE);
     Spark's readers pass over files of no bytes, so these have no row. ``max_packets``: a guard for each file, none by default. Tasks hold one file and ``rows`` rows."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    return decoded(spark.read.format("binaryFile").load(path).select("path", "length", "content"), max_bytes, max_packets, rows)
+
+
+def decoded(files: DataFrame, max_bytes: int | None = None, max_packets: int | None = None, rows: int = 20_000) -> DataFrame:
+    """Rows of ``SCHEMA`` from rows (path, length, content), each a capture."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
