@@ -36,7 +36,7 @@ LEAST_IDF = 0.05
 #: What rounding may take from a sum.
 ROUNDING = 1 - 1e-9
 #: Share of an item's words, in order, that makes a leak; or less with so much of its answer.
-LCS, LCS_WITH_ANSWER, ANSWER = 0.75, 0.65, 0.9
+LCS, LCS_WITH_ANSWER, ANSWER = 0.65, 0.55, 0.9
 #: Items of a part; parts that share a round's passes over the corpus; words that a task handles at once; blocks that the
 #: tasks' sums are cut into.
 PART, ROUND, BATCH, BLOCKS = 500, 8, 65536, 16
@@ -289,7 +289,8 @@ class Items:
         """The round's word ids as this part's."""
         return coded if self.local is None else self.local[coded]
 
-    def place(self, basis: np.ndarray, cosine: float) -> None:
+    def place(self, basis: np.ndarray, cosine: float, verdict: tuple[float, float, float] = (LCS, LCS_WITH_ANSWER, ANSWER)) -> None:
+        self.lcs, self.lcs_with_answer, self.answer = verdict
         self.table = (basis * self.idf[:, None]).astype(np.float32)
         _, words, first = _joined(list(zip(self.ids, self.words, strict=True)))
         at, end, self.of = _windows(first, STEP)
@@ -304,7 +305,7 @@ class Items:
         around = words[max(0, at - len(item)) : at + PASSAGE + len(item)]
         here = np.zeros(self.vocabulary.size + 1, bool)
         here[around] = True
-        if (share := here[item].mean()) < LCS_WITH_ANSWER:  # no more words in order than words
+        if (share := here[item].mean()) < self.lcs_with_answer:  # no more words in order than words
             return float(share), 0.0
         item, around = item.tolist(), around.tolist()
         return common_words(item, around) / len(item), common_words(item[-self.answers[k] :], around) / self.answers[k]
@@ -339,7 +340,7 @@ class Items:
             if (doc, k) in done:
                 continue
             share, answer = self.check(k, words[first[doc] : first[doc + 1]], int(at[w] - first[doc]))
-            if share >= LCS or share >= LCS_WITH_ANSWER and answer >= ANSWER:
+            if share >= self.lcs or share >= self.lcs_with_answer and answer >= self.answer:
                 if share == 1:
                     done.add((doc, k))
                 out.append((doc, self.ids[k], float(near[w, p]), share, answer))
@@ -373,7 +374,7 @@ def _rounds(benchmark: DataFrame, item_col: str, item_text: str, part_items: int
     return items.schema["item_id"].dataType, rounds()
 
 
-def _fitted(docs: DataFrame, group: list[Items], cosine: float) -> tuple[DataFrame, Vocabulary]:
+def _fitted(docs: DataFrame, group: list[Items], cosine: float, verdict: tuple[float, float, float]) -> tuple[DataFrame, Vocabulary]:
     """The coded texts of ``docs`` (doc_id, text) and their vocabulary; the parts are ready to find their items."""
     vocabulary = Vocabulary(np.unique(np.concatenate([p.vocabulary.known[1:] for p in group])))
     texts = settle(words_of(docs, vocabulary), "words")
@@ -381,13 +382,14 @@ def _fitted(docs: DataFrame, group: list[Items], cosine: float) -> tuple[DataFra
     for part in group:
         part.join(vocabulary, seen, n)
     for part, basis in zip(group, latent_bases(texts, group), strict=True):
-        part.place(basis, cosine)
+        part.place(basis, cosine, verdict)
     return texts, vocabulary
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, part_items: int = PART) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, part_items: int = PART, verdict: tuple[float, float, float] = (LCS, LCS_WITH_ANSWER, ANSWER)) -> DataFrame:
     """Rows (doc_id, item_id, cosine, lcs, answer): the documents that hold an item, or a paraphrase of it that keeps
     most of its words in order, with the best of their passages; a pair comes once, repeated ids as one document.
+    ``verdict``: the share of its words in order that makes a leak, or a lower one with that share of its answer.
 
     Null and empty texts and items hold nothing and are held by nothing; null ids are kept; empty tables give no rows;
     other columns are left out, whatever their names."""
@@ -396,7 +398,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, cosine double, lcs double, answer double"
     out = docs.sparkSession.createDataFrame([], shape)
     for group in rounds:
-        texts, vocabulary = _fitted(rows, group, cosine)
+        texts, vocabulary = _fitted(rows, group, cosine, verdict)
         out = out.unionByName(texts.mapInArrow(_searcher(group, vocabulary.kind, to_arrow_type(item_type)), shape))
     best = F.max_by(F.struct("cosine", "lcs", "answer"), F.struct("lcs", "answer", "cosine"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
@@ -415,12 +417,12 @@ def _searcher(group: list[Items], kind, item_kind: pa.DataType):
     return search
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", cosine: float = COSINE, part_items: int = PART) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", cosine: float = COSINE, part_items: int = PART, verdict: tuple[float, float, float] = (LCS, LCS_WITH_ANSWER, ANSWER)) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item, in all their columns, whatever their names. Rows are
     judged by their own text: null ids and rows that repeat an id make no difference. Nothing is joined or shuffled."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     for group in _rounds(benchmark, "item_id", "text", part_items)[1]:
-        _, vocabulary = _fitted(rows, group, cosine)
+        _, vocabulary = _fitted(rows, group, cosine, verdict)
         docs = docs.where(~_holds(group, vocabulary)(F.col(text)))
     return docs
 
