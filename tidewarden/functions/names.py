@@ -78,9 +78,13 @@ def ipv6_of_nibbles(names: pd.Series) -> pd.Series:
     return names.map(decode, na_action="ignore").astype("object")
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def host_of(raw: Column) -> tuple[Column, Column]:
     """(host, whether a URL was given): without scheme, userinfo, port and brackets."""
-    text = F.trim(F.btrim(F.trim(raw), F.lit("\"'<>")))
+    text = stripped(F.btrim(stripped(raw), F.lit("\"'<>")))
     is_url = text.contains("://")
     rest = F.when(is_url, F.regexp_extract(text, r"(?s)^.*?://(.*)$", 1)).otherwise(text)
     was_url = is_url | rest.rlike("[/?#@]")
@@ -108,7 +112,7 @@ def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
         lambda x: F.when(x == "", "EMPTY_LABEL").when(F.length(x) > 63, "LABEL_TOO_LONG").when(~x.rlike(LABEL), "INVALID_LABEL_FORMAT"),
     )
     error = (
-        F.when(F.length(F.trim(F.coalesce(F.col(raw), F.lit("")))) == 0, "EMPTY_INPUT")
+        F.when(F.length(stripped(F.coalesce(F.col(raw), F.lit("")))) == 0, "EMPTY_INPUT")
         .when(F.length(raw) > 2048, "INPUT_TOO_LARGE")
         .when(F.col("_host") == "", F.when(F.col("_was_url"), "INVALID_URL").otherwise("EMPTY_INPUT"))
         .when(F.col("_ascii") == "", "IDN_ENCODING_FAILED")

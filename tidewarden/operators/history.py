@@ -51,19 +51,35 @@ def history_pair(events: DataFrame, client: str, now: datetime.datetime, minutes
 
 
 def trailing(events: DataFrame, minutes: int = 60, keys: tuple[str, ...] = ("registrable_domain",)) -> DataFrame:
-    """Each event with the history of its key over the minutes before it; rows of the same microsecond aren't before it."""
+    """Each event with the history of its key over the minutes before it; rows of the same microsecond aren't before it.
+
+    A key's rows are dealt to buckets as long as the window, each with a copy of the bucket before it, so a task holds two
+    windows of a key and a busy key is many tasks. Inside a bucket a row adds to running sums when it comes and takes
+    off again when it leaves the window; a name is counted from its first row until its last one in a row leaves."""
+    span = minutes * 60_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(us).rangeBetween(-minutes * 60_000_000, -1)
-    dns, other = F.col("event_type") == "dns", F.col("event_type") != "dns"
-    return events.withColumns(
-        {
-            "total": F.count_if(dns).over(w) + F.size(F.collect_set(F.when(other, F.col("domain"))).over(w)),
-            "distinct_names": F.size(F.collect_set("domain").over(w)),
-            "max_risk": F.coalesce(F.max("risk_score").over(w), F.lit(0)),
-            "blocked_before": F.count_if("blocked").over(w),
-            "nxdomain": F.count_if((F.col("response_code") == "NXDOMAIN") & ~F.col("blocked")).over(w),
-        }
-    )
+    need = [*keys, "us", "domain", "risk_score", "is_dns", "blocked", "failed"]
+    failed = F.coalesce((F.col("response_code") == "NXDOMAIN") & ~F.col("blocked"), F.lit(False))
+    rows = events.select(F.struct(*events.columns).alias("e"), *keys, us.alias("us"), "domain", "risk_score", (F.col("event_type") == "dns").alias("is_dns"), F.col("blocked").alias("blocked"), failed.alias("failed"))
+    rows = rows.withColumn("bucket", F.floor(F.col("us") / span))
+    dealt = rows.unionByName(rows.select(*need, (F.col("bucket") + 1).alias("bucket")), allowMissingColumns=True)
+    deltas = {"dns": F.col("is_dns").cast("int"), "blocked_before": F.coalesce("blocked", F.lit(False)).cast("int"), "nxdomain": F.col("failed").cast("int")}
+    coming, leaving = dict(deltas), dict(deltas)
+    for name, same, counts in (("distinct_names", ["domain"], F.col("domain").isNotNull()), ("others", ["domain", "is_dns"], F.col("domain").isNotNull() & ~F.col("is_dns"))):
+        order = Window.partitionBy(*keys, "bucket", *same).orderBy("us")
+        dealt = dealt.withColumns({f"prev_{name}": F.lag("us").over(order), f"next_{name}": F.lead("us").over(order)})
+        before, after = F.col(f"prev_{name}"), F.col(f"next_{name}")
+        coming[name] = (counts & (before.isNull() | (before < F.col("us") - span))).cast("int")
+        leaving[name] = (counts & (after.isNull() | (after > F.col("us") + span))).cast("int")
+    comes = F.struct(F.col("us").alias("at"), F.col("e").isNotNull().alias("asks"), F.col("risk_score").alias("risk"), *(x.alias(c) for c, x in coming.items()))
+    leaves = F.struct((F.col("us") + span).alias("at"), F.lit(False).alias("asks"), F.lit(None).cast("int").alias("risk"), *((-x).alias(c) for c, x in leaving.items()))
+    moves = dealt.select("e", *keys, "bucket", F.explode(F.when(F.col("e").isNull(), F.array(comes, leaves)).otherwise(F.array(comes))).alias("m")).select("e", *keys, "bucket", "m.*")
+    so_far = Window.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    window = Window.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(-span, -1)
+    total = {c: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c in coming}
+    summed = moves.withColumns({f"sum_{c}": x for c, x in total.items()} | {"max_risk": F.coalesce(F.max("risk").over(window), F.lit(0))}).where("asks")
+    measures = [(F.col("sum_dns") + F.col("sum_others")).alias("total"), F.col("sum_distinct_names").alias("distinct_names"), "max_risk", F.col("sum_blocked_before").alias("blocked_before"), F.col("sum_nxdomain").alias("nxdomain")]
+    return summed.select("e.*", *measures)
 
 
 def client_behaviour(events: DataFrame, now: datetime.datetime, minutes: int = 60, policy: Policy = POLICY) -> DataFrame:
