@@ -13,7 +13,7 @@ from tidewarden.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events pages part".split()
-NAMES = "name_errors name_kinds brand_matches lexical_scores tunnel_scores dga_scores assessed_hosts capture_totals gateway_outcomes stored_events zeek_queries pcap_questions stream_hourly trailing_behaviour timing_percentiles family_separation sql_functions".split()
+NAMES = "name_errors name_kinds brand_matches lexical_scores tunnel_scores dga_scores assessed_hosts capture_totals gateway_outcomes stored_events zeek_queries pcap_questions stream_hourly trailing_behaviour timing_percentiles family_separation sql_functions replayed_verdicts generated_names".split()
 
 
 @pytest.fixture(scope="module")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-"
@@ -57,3 +58,30 @@ def separation(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     ranked = inside.where(F.col("score").between(F.element_at("near", 1), F.element_at("near", 2))).withColumn("nth", F.row_number().over(place) - 1)
     middle = ranked.join(F.broadcast(below), "family").where(F.col("nth") + F.col("below") == F.floor(F.col("n") / 2)).select("family", F.col("score").alias("median"))
     return out.join(middle, "family").select("family", "mean", "median", "share")
+
+
+#: Letters that each family draws from, with repeats where one is likelier, and its shortest and longest name.
+FAMILIES = {
+    "letters": ("abcdefghijklmnopqrstuvwxyz", 10, 18), "letters_digits": ("abcdefghijklmnopqrstuvwxyz0123456789", 10, 18),
+    "few_vowels": ("bcdfghjklmnpqrstvwxz" * 23 + "aeiou" * 20, 9, 15), "hexadecimal": ("0123456789abcdef", 12, 20),
+}
+
+
+def drawn(*parts: Column | str) -> Column:
+    """A number below 2**32 for the parts, the same in every run and on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def generated_names(spark: SparkSession, n: int, words: list[str], seed: int = 0) -> DataFrame:
+    """Rows (family, i, name): ``n`` names of each of five families, random ones by ``FAMILIES`` and pairs of ``words``."""
+    rows = spark.range(n).withColumnRenamed("id", "i")
+
+    def random(family: str, letters: str, least: int, most: int) -> DataFrame:
+        at = lambda p: drawn(F.lit(f"{seed}:{family}"), F.col("i"), p)
+        size = (at(F.lit("n")) % (most - least + 1) + least).cast("int")
+        picked = F.transform(F.sequence(F.lit(1), size), lambda p: F.lit(letters).substr((at(p) % len(letters) + 1).cast("int"), F.lit(1)))
+        return rows.select(F.lit(family).alias("family"), "i", F.array_join(picked, "").alias("name"))
+
+    of = lambda p: F.element_at(F.array(*map(F.lit, words)), (drawn(F.lit(f"{seed}:word_pair"), F.col("i"), F.lit(p)) % len(words) + 1).cast("int"))
+    pairs = rows.select(F.lit("word_pair").alias("family"), "i", F.concat(of("1"), of("2")).alias("name"))
+    return functools.reduce(DataFrame.unionByName, [*(random(f, *x) for f, x in FAMILIES.items()), pairs])

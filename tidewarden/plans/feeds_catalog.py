@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewarden import dims
 from tidewarden.functions import registry
-from tidewarden.functions.names import canonicalize
-from tidewarden.operators import training
+from tidewarden.functions.names import LABEL_SPAN, canonicalize
+from tidewarden.operators import replay, scorers, training
 from tidewarden.plans import analysis, dashboards
 from tidewarden.plans import names_catalog as names
 from tidewarden.plans.views import DNS_EVENTS_SQL, as_dns, dns_events
@@ -142,11 +143,36 @@ def _sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select raw, round(entropy(replace(raw, '.', '')), 6) as entropy, registrable_domain(raw) as registrable, classify_name(raw) as kind, s.depth, s.suffix from asked_names, lateral dns_suffixes(raw) s")
 
 
+DAY = 24 * 60
+
+
+def evidence(events: DataFrame) -> DataFrame:
+    """Events whose shape gives the score; what history adds decides the rest."""
+    signal = F.struct(F.lit("lexical").alias("name"), F.col("risk_score").cast("double").alias("score"), F.lit(0.85).alias("confidence"), F.lit(LABEL_SPAN).alias("scope_key"), F.lit("SCORED").alias("verdict"), F.array().alias("factors"))
+    return events.withColumn("lexical", signal.cast(scorers.SIGNAL))
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replay.replay(evidence(dns_events(spark, sf_dir)), DAY)
+    return out.select("id", F.round("behavioral_score", 6).alias("behavioral_score"), F.round("raw_score", 6).alias("raw_score"), "risk_score", "decision", "blocked")
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.generated_names(spark, 200, dims.WORDS)
+
+
+def _family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the generated-name score tells each family from chance."""
+    named = analysis.features(_families(spark, sf_dir).withColumn("raw", F.concat("name", F.lit(".com"))))
+    scored = scorers.dga(named, analysis.default_model(spark)).select("family", F.col("dga_score").alias("score"))
+    return training.separation(scored).select("family", *(F.round(c, 6).alias(c) for c in ("mean", "median", "share")))
+
+
 def queries() -> dict:
     return {
         "name_errors": _name_errors, **{f"capture_{t}": _capture(t) for t in ("findings", "sources", "types", "totals", "rejected")}, "gateway_outcomes": _gateway, "block_reasons": _reasons,
         "decision_shares": lambda spark, sf_dir: dashboards.shares(dns_events(spark, sf_dir), "decision"), "stored_events": _stored, "zeek_queries": _zeek, "pcap_questions": _pcap, "stream_hourly": _stream_hourly,
-        "family_separation": _separation, "sql_functions": _sql_functions,
+        "family_separation": _separation, "sql_functions": _sql_functions, "replayed_verdicts": _replayed, "generated_names": _families, "family_scores": _family_scores,
     }
 
 
@@ -167,6 +193,45 @@ _VERDICTS = f"""with recursive {DNS_EVENTS_SQL}, {_ASSESSED.split("select raw, s
         from first f join decided x on f.key = x.raw join tunnel u on u.raw = x.raw join dga g on g.raw = x.raw join spans s on s.raw = x.raw
     )"""
 _BACK = "left join verdicts v on a.key = v.key"
+
+
+def _drawn(family: str, part: str) -> str:
+    return f"('0x' || substr(md5('0:{family}:' || i || ':' || {part}), 1, 8))::bigint"
+
+
+_FAMILY = " union all ".join(
+    f"select '{f}' as family, i, array_to_string(list_transform(range(1, {_drawn(f, repr('n'))} % {most - least + 1} + {least + 1}), lambda p: substr('{x}', {_drawn(f, 'p')} % {len(x)} + 1, 1)), '') as name from r"
+    for f, (x, least, most) in training.FAMILIES.items()
+)
+_PAIR = " || ".join(f"({names._list(dims.WORDS)})[{_drawn('word_pair', repr(p))} % {len(dims.WORDS)} + 1]" for p in "12")
+#: One row of each domain a step, with the rows before it and their verdicts in a list.
+_WALK = """with recursive {views}, q as (select *, row_number() over (partition by registrable_domain order by ts, id) as n from v_dns),
+    walk as (
+        select registrable_domain, 0::bigint as n, null::bigint as id, 0.0::double as bs, 0.0::double as raw, false as blocked, []::struct(ts timestamp, domain varchar, dns boolean, missing boolean, blocked boolean)[] as past
+        from (select distinct registrable_domain from q)
+        union all
+        select registrable_domain, n, id, bs, raw, blocked, list_append(near, struct_pack(ts := ts, domain := domain, dns := dns, missing := missing, blocked := blocked)) from (
+            select *, dns and round_even(raw, 0) >= 70 as blocked from (
+                select *, greatest(0, least(100, (0.2125 * risk_score + 0.1 * conf * bs) / (0.2125 + 0.1 * conf) + case when risk_score >= 70 and bs >= 70 then 8 else 0 end)) as raw from (
+                    select *, case when bs > 0 then least(0.85, 0.5 + 0.01 * total) else 0 end as conf from (
+                        select *, case when total < 3 then 0 else least(100, case when total >= 20 then 26 else 0 end + case when uniq >= 8 then 30 else 0 end
+                            + case when nx >= 5 and nx / total >= 0.5 then 22 else 0 end + case when held >= 3 then 20 else 0 end) end::double as bs from (
+                            select *, len(list_filter(seen, lambda x: x.dns)) + len(list_distinct(list_transform(list_filter(seen, lambda x: not x.dns), lambda x: x.domain))) as total,
+                                len(list_distinct(list_transform(seen, lambda x: x.domain))) as uniq, len(list_filter(seen, lambda x: x.blocked)) as held, len(list_filter(seen, lambda x: x.missing and not x.blocked)) as nx from (
+                                select *, list_filter(near, lambda x: x.ts < ts) as seen from (
+                                    select q.registrable_domain, q.n, q.id, q.ts::timestamp as ts, q.domain, q.event_type = 'dns' as dns, coalesce(q.response_code = 'NXDOMAIN', false) as missing, q.risk_score,
+                                        list_filter(w.past, lambda x: x.ts >= q.ts::timestamp - interval 1 day) as near
+                                    from walk w join q on q.registrable_domain = w.registrable_domain and q.n = w.n + 1
+                                )
+                            )
+                        )
+                    )
+                )
+            )
+        )
+    )
+    select id, round(bs, 6) as behavioral_score, round(raw, 6) as raw_score, round_even(raw, 0)::int as risk_score, case when round_even(raw, 0) < 30 then 'ALLOW' when round_even(raw, 0) < 70 then 'MONITOR' else 'BLOCK' end as decision, blocked
+    from walk where n > 0"""
 ORACLE_SQL = {
     "name_errors": rf"""
         with r as (select * from (values {", ".join(f"({i}, {_raw(x)})" for i, x in enumerate(RAW))}) t(i, raw)),
@@ -204,4 +269,6 @@ ORACLE_SQL = {
     "family_separation": """with s as (select p_size::varchar as family, (p_partkey * 37) % 1000 / 1000 as score from part)
         select family, round(avg(score), 6) as mean, round(list_sort(list(score))[count(*) // 2 + 1], 6) as median, round(avg((score >= 0.5)::int), 6) as share from s group by 1""",
     "sql_functions": f"""with {names.NAMES_SQL} select raw, round({names._entropy("flat")}, 6) as entropy, registrable, kind, (i - 1)::int as depth, array_to_string(labels[i:], '.') as suffix from spans, range(1, 64) r(i) where i <= len(labels)""",
+    "replayed_verdicts": _WALK.replace("{views}", DNS_EVENTS_SQL),
+    "generated_names": f"with r as (select range as i from range(200)) {_FAMILY} union all select 'word_pair', i, {_PAIR} from r",
 }

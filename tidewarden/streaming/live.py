@@ -1,19 +1,29 @@
-"""The event stream: the dashboards that move, and the answer cache's hits.
+"""The event stream: the dashboards that move, the answer cache's hits, and verdicts that become history.
 
 Events later than the watermark are left out of windows; the batch queries count them.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidewarden.operators.replay import replay
+from tidewarden.policy import POLICY, Policy
+
 WATERMARK = "10 minutes"
+#: A verdict as it is stored; ``batch`` is the micro-batch's folder.
+VERDICTS = (
+    "id long, ts timestamp, domain string, registrable_domain string, event_type string, response_code string, behavioral_score double, raw_score double, risk_score int, "
+    "decision string, blocked boolean, batch long"
+)
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType | str, files: int = 100) -> DataFrame:
@@ -78,3 +88,22 @@ def cache_hits(queries: DataFrame, max_ttl: int = 300, watermark: str = WATERMAR
 
     grouped = keyed.groupBy("name", "query_type", "query_class")
     return grouped.applyInPandasWithState(step, "id long, name string, query_type string, cache_hit boolean", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replay_into(events: DataFrame, path: str, checkpoint: str, minutes: int | None = None, policy: Policy = POLICY, **trigger) -> StreamingQuery:
+    """Judges a stream of events (see ``replay.replay``) with the verdicts stored before as their history, and stores theirs,
+    a folder for each micro-batch. A micro-batch that runs again replaces its own folder.
+
+    An event that comes after younger ones has been judged doesn't change their verdicts. Only the stored rows of the
+    window before a micro-batch are read."""
+    span = minutes or policy.get("behavioral.window_minutes")
+
+    def judge(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        before, first = None, batch.agg(F.min("ts")).first()[0]
+        if number and first is not None:
+            stored = batch.sparkSession.read.schema(VERDICTS).parquet(path)
+            before = stored.where((F.col("batch") < number) & (F.col("ts") >= F.lit(first - datetime.timedelta(minutes=span))))
+        replay(batch, span, before, policy).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
