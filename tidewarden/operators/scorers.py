@@ -5,6 +5,8 @@ A detector without evidence abstains: confidence 0, so fusion leaves it out of b
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,12 +133,19 @@ def tunnel(df: DataFrame, query_type: str | None = None, policy: Policy = POLICY
     return df.withColumn("tunnel", signal("tunnel", F.col("_score"), confidence, F.col("_key"), F.when(n > 0, "SCORED").otherwise("ABSTAINED"), found)).drop("_f", "_span", "_key", "_score")
 
 
+#: Letters of a label, and its ends.
+PAIR_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789-^$"
+
+
 def bigram_llr(label: Column, log_probs: dict[str, float], uniform: float, digits: bool = False) -> Column:
     """Mean log-probability of a label's letter pairs, with ends marked, and digits left out but for ``digits``, less that of
     chance."""
     clean = F.concat(F.lit("^"), F.regexp_replace(F.lower(label), "[^a-z0-9-]" if digits else "[^a-z-]", ""), F.lit("$"))
-    table = F.create_map(*(F.lit(x) for kv in log_probs.items() for x in kv)) if log_probs else F.create_map(F.lit(""), F.lit(0.0))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(clean) - 1), lambda i: F.coalesce(F.element_at(table, clean.substr(i, F.lit(2))), F.lit(uniform)))
+    n = len(PAIR_LETTERS)
+    grid = [log_probs.get(a + b, uniform) for a in PAIR_LETTERS for b in PAIR_LETTERS]
+    table = F.from_json(F.lit(json.dumps(grid)), "array<double>")  # one literal, read by place
+    place = lambda i: F.instr(F.lit(PAIR_LETTERS), clean.substr(i, F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(clean) - 1), lambda i: F.get(table, (place(i) - 1) * n + place(i + 1) - 1))
     total = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x)
     return F.when(F.length(clean) > 2, total / F.size(pairs) - uniform).otherwise(0.0)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from tidewarden.operators import fusion, intel, scorers, training
 from tidewarden.policy import POLICY, Policy
 
 
+@functools.lru_cache(maxsize=1)
 def default_model(spark) -> dict:
-    """The letter-pair model of the seed words."""
+    """The letter-pair model of the seed words, fitted once for a session."""
     return training.bigram_model(spark.createDataFrame([(w,) for w in dims.WORDS], "label string"))
 
 
