@@ -100,12 +100,12 @@ def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
 
     A name that is no valid one has an error code and no domain; nothing raises. Null is EMPTY_INPUT."""
     host, was_url = host_of(F.col(raw))
-    df = df.withColumns({"_host": F.coalesce(host, F.lit("")), "_was_url": F.coalesce(was_url, F.lit(False))})
+    df = df.withColumns({"_host": bound(F.coalesce(host, F.lit(""))), "_was_url": F.coalesce(was_url, F.lit(False))})
     odd = F.col("_host").rlike(r"[^\x00-\x7F]")
     df = df.withColumn("_ascii", F.coalesce(to_punycode(F.when(odd, F.col("_host"))), F.col("_host")))
-    df = df.withColumn("_domain", F.lower(F.regexp_replace("_ascii", r"\.+$", "")))
-    df = df.withColumn("_ip", ip_facts(F.when(F.col("_domain").contains(":"), F.col("_domain"))))
-    domain, labels = F.col("_domain"), F.split("_domain", r"\.")
+    df = df.withColumn("_domain", bound(F.lower(F.regexp_replace("_ascii", r"\.+$", ""))))
+    df = df.withColumns({"_ip": ip_facts(F.when(F.col("_domain").contains(":"), F.col("_domain"))), "_labels": bound(F.split("_domain", r"\."))})
+    domain, labels = F.col("_domain"), F.col("_labels")
     is_ip = domain.rlike(IPV4) | F.col("_ip.version").isNotNull()
     label_error = F.transform(
         labels,
@@ -120,7 +120,7 @@ def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(F.length(domain) > 253, "DOMAIN_TOO_LONG")
         .otherwise(F.coalesce(F.try_element_at(F.filter(label_error, lambda e: e.isNotNull()), F.lit(1)), F.when((F.size(labels) > 1) & F.element_at(labels, -1).rlike(r"^\d+$"), "NUMERIC_TLD")))
     )
-    df = df.withColumns({"_labels": labels, "_error": error, "_is_ip": is_ip, "_suffix": public_suffix(labels)})
+    df = df.withColumns({"_error": bound(error), "_is_ip": bound(is_ip), "_suffix": bound(public_suffix(labels))})
     depth = F.size(F.split("_suffix", r"\."))
     n = F.size("_labels")
     own = F.when(n > depth, n - depth).otherwise(F.lit(1))  # labels before the suffix; a bare suffix keeps its first
