@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, main_text, neardup, packing, tokens, topk, toxicity, url_rules
+from . import chat, clustering, decontaminate, langid, main_text, neardup, packing, sharding, tokens, topk, toxicity, url_rules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +85,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+CLUSTERS, ROUNDS, WIDTH = 16, 3, 64
+
+
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = clustering.whole_vectors(table(spark, sf_dir, "embeddings"), WIDTH)
+    first = clustering.first_centroids(vectors, CLUSTERS, F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256))
+    return clustering.with_inertia(*clustering.lloyd(vectors, first, ROUNDS))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.whole_vectors(table(spark, sf_dir, "embeddings")), 16)
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict:
-    every = (op1_toxicity, op2_topk, op3_langid, op4_chat, op5_token_counts, op6_decontamination, op7_main_text, op8_url_rules, op9_packing, op10_simhash)
+    every = (
+        op1_toxicity, op2_topk, op3_langid, op4_chat, op5_token_counts, op6_decontamination, op7_main_text, op8_url_rules, op9_packing, op10_simhash, op11_clusters, op12_whitening, op13_shards,
+    )
     return {f.__name__: f for f in every}
 
 
@@ -141,3 +164,27 @@ ORACLE_SQL = {
         select page_id, host, path, rule_host || rule_path as rule, coalesce(rule_verdict, 'allow') as verdict from fits where nth = 1
     """,
 }
+
+
+def _rounds() -> str:
+    """The rounds of Lloyd's algorithm, one after the other: nearest centroid by an order over all pairs, then floors of means."""
+    parts = [f"""k as (
+            select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor({WIDTH} * x::double)::bigint) as v from embeddings
+            where len(embedding) = {WIDTH} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        ), c0 as (select (row_number() over (order by sha256('1:' || vec_id)) - 1)::int as cluster, v from k order by sha256('1:' || vec_id) limit {CLUSTERS})"""]
+    for i in range(ROUNDS + 1):
+        parts.append(f"""d{i} as (select k.row, k.vec_id, k.v, c.cluster, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance from k, c{i} c),
+        a{i} as (select * from (select *, row_number() over (partition by row order by distance, cluster) as nth from d{i}) where nth = 1)""")
+        if i < ROUNDS:
+            parts.append(f"""e{i} as (select cluster, unnest(v) as x, generate_subscripts(v, 1) as place from a{i}),
+        m{i} as (select cluster, place, floor(sum(x) / count(*))::bigint as x from e{i} group by 1, 2),
+        c{i + 1} as (select c.cluster, coalesce(any_value(n.v), any_value(c.v)) as v from c{i} c left join (select cluster, list(x order by place) as v from m{i} group by 1) n using (cluster) group by 1)""")
+    return ", ".join(parts)
+
+
+ORACLE_SQL["op11_clusters"] = f"""
+    with {_rounds()}
+    select a.vec_id, a.cluster, a.distance, (sum(a.distance) over (partition by a.cluster))::bigint as cluster_inertia, (sum(a.distance) over ())::bigint as inertia,
+        sha256(array_to_string(c.v, ',')) as centroid_sha256
+    from a{ROUNDS} a join c{ROUNDS} c using (cluster)
+"""
