@@ -27,7 +27,7 @@ def walked(rows: list[tuple], minutes: int) -> dict[int, tuple]:
         seen = [p for p in past if domain and p[1] == domain and ts - datetime.timedelta(minutes=minutes) <= p[0] < ts]
         total = sum(p[3] for p in seen) + len({p[2] for p in seen if not p[3]})
         missing = sum(p[4] and not p[5] for p in seen)
-        points = 26 * (total >= 20) + 30 * (len({p[2] for p in seen}) >= 8) + 22 * (missing >= 5 and missing / max(total, 1) >= 0.5) + 20 * (sum(p[5] for p in seen) >= 3) if total >= 3 else 0
+        points = 26 * (total >= 20) + 30 * (len({p[2] for p in seen}) >= 8) + 22 * (total >= 5 and missing / total >= 0.5) + 20 * (sum(p[5] for p in seen) >= 3) if total >= 3 else 0
         weight = 0.1 * min(0.85, 0.5 + 0.01 * total) if points else 0.0
         raw = min(100.0, (0.2125 * risk + weight * points) / (0.2125 + weight) + 8 * (risk >= 70 and points >= 70))
         blocked = kind == "dns" and round(raw) >= 70

@@ -68,7 +68,7 @@ def let(x: Column, f) -> Column:
 
 # The code of each override's factor.
 OVERRIDES = {
-    "ti_malicious_floor": "OVERRIDE_TI_MALICIOUS", "brand_impersonation_floor": "OVERRIDE_BRAND", "corroboration_bonus": "OVERRIDE_CORROBORATION", "tld_dga_bonus": "OVERRIDE_TLD_DGA",
+    "ti_malicious_floor": "OVERRIDE_TI_FLOOR", "brand_impersonation_floor": "OVERRIDE_BRAND_FLOOR", "corroboration_bonus": "OVERRIDE_CORROBORATION", "tld_dga_bonus": "OVERRIDE_TLD_DGA",
     "corroborated_floor": "OVERRIDE_CORROBORATED_FLOOR", "ti_trusted_ceiling": "OVERRIDE_TRUSTED_CEILING", "clamp": "OVERRIDE_CLAMP", "allowlist_set_aside": "OVERRIDE_ALLOWLIST_SET_ASIDE",
 }
 NAMES = {"ti": "threat_intel"}
@@ -126,7 +126,7 @@ def assess(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
         ("ti_malicious_floor", lambda x: F.when(malicious & (conf["ti"] >= p["ti_floor_confidence"]), F.greatest(x, F.lit(float(p["ti_floor"]))))),
         ("brand_impersonation_floor", lambda x: F.when(has("lexical", "BRAND_IMPERSONATION"), F.greatest(x, F.lit(float(p["brand_floor"]))))),
         ("corroboration_bonus", lambda x: F.when(F.size(independent_scopes(strong)) >= 2, x + p["corroboration"][1])),
-        ("tld_dga_bonus", lambda x: F.when(has("lexical", "SUSPICIOUS_TLD") & (s["dga"][0] >= 100 * p["tld_dga"][0]) & (conf["dga"] > 0), x + p["tld_dga"][1])),
+        ("tld_dga_bonus", lambda x: F.when(has("lexical", "SUSPICIOUS_TLD") & (s["dga"][0] >= 100 * p["tld_dga"][0]), x + p["tld_dga"][1])),
         ("corroborated_floor", lambda x: F.when(several, F.greatest(x, F.lit(float(p["single"][2]))))),
         ("ti_trusted_ceiling", lambda x: F.when(trusted & ~F.col("_aside"), F.least(x, F.lit(float(p["trusted_ceiling"]))))),
         ("clamp", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))),

@@ -71,13 +71,16 @@ def trailing(events: DataFrame, minutes: int = 60, keys: tuple[str, ...] = ("reg
         before, after = F.col(f"prev_{name}"), F.col(f"next_{name}")
         coming[name] = (counts & (before.isNull() | (before < F.col("us") - span))).cast("int")
         leaving[name] = (counts & (after.isNull() | (after > F.col("us") + span))).cast("int")
-    comes = F.struct(F.col("us").alias("at"), F.col("e").isNotNull().alias("asks"), F.col("risk_score").alias("risk"), *(x.alias(c) for c, x in coming.items()))
-    leaves = F.struct((F.col("us") + span).alias("at"), F.lit(False).alias("asks"), F.lit(None).cast("int").alias("risk"), *((-x).alias(c) for c, x in leaving.items()))
+    own, none = F.col("risk_score"), F.lit(None).cast(events.schema["risk_score"].dataType)
+    comes = F.struct(F.col("us").alias("at"), F.col("e").isNotNull().alias("asks"), F.when(F.col("e").isNotNull(), own).alias("new_risk"), none.alias("old_risk"), *(x.alias(c) for c, x in coming.items()))
+    leaves = F.struct((F.col("us") + span).alias("at"), F.lit(False).alias("asks"), none.alias("new_risk"), own.alias("old_risk"), *((-x).alias(c) for c, x in leaving.items()))
     moves = dealt.select("e", *keys, "bucket", F.explode(F.when(F.col("e").isNull(), F.array(comes, leaves)).otherwise(F.array(comes))).alias("m")).select("e", *keys, "bucket", "m.*")
     so_far = Window.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    window = Window.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(-span, -1)
+    to_come = Window.partitionBy(*keys, "bucket").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     total = {c: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c in coming}
-    summed = moves.withColumns({f"sum_{c}": x for c, x in total.items()} | {"max_risk": F.coalesce(F.max("risk").over(window), F.lit(0))}).where("asks")
+    # The window holds the bucket's rows so far, and those of the bucket before that are still to leave.
+    highest = F.coalesce(F.greatest(F.max("new_risk").over(so_far), F.max("old_risk").over(to_come)), F.lit(0))
+    summed = moves.withColumns({f"sum_{c}": x for c, x in total.items()} | {"max_risk": highest}).where("asks")
     measures = [(F.col("sum_dns") + F.col("sum_others")).alias("total"), F.col("sum_distinct_names").alias("distinct_names"), "max_risk", F.col("sum_blocked_before").alias("blocked_before"), F.col("sum_nxdomain").alias("nxdomain")]
     return summed.select("e.*", *measures)
 

@@ -19,9 +19,10 @@ FACTOR = "struct<code:string,severity:string,raw_points:double>"
 SIGNAL = f"struct<name:string,score:double,confidence:double,scope_key:string,verdict:string,factors:array<{FACTOR}>>"
 
 
-def factor(when: Column, code: str, severity: str, points: Column | float) -> Column:
+def factor(when: Column, code: str, severity: Column | str, points: Column | float) -> Column:
     points = points if isinstance(points, Column) else F.lit(float(points))
-    return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), points.cast("double").alias("raw_points")))
+    severity = severity if isinstance(severity, Column) else F.lit(severity)
+    return F.when(when, F.struct(F.lit(code).alias("code"), severity.alias("severity"), points.cast("double").alias("raw_points")))
 
 
 def present(*factors: Column) -> Column:
@@ -73,6 +74,7 @@ def lexical(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
         return factor(gate & (x >= p[code][0]), code, severity, p[code][1])
 
     first, more, most = p["SUSPICIOUS_KEYWORD"]
+    keyword_points = F.least(F.lit(float(most)), f("keyword_weight") * first + (n_keywords - 1) * more)
     factors = present(
         at_least(entropy, "ENTROPY_HIGH", "medium"),
         at_least(entropy, "ENTROPY_VERY_HIGH", "high"),
@@ -81,13 +83,13 @@ def lexical(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
         at_least(f("digit_ratio"), "DIGIT_RATIO_VERY_HIGH", "high"),
         at_least(f("length"), "LENGTH_LONG", "low"),
         at_least(f("length"), "LENGTH_VERY_LONG", "medium"),
-        at_least(f("hyphens"), "HYPHEN_MANY", "medium"),
+        at_least(f("hyphens"), "HYPHEN_MANY", "low"),
         at_least(f("subdomain_depth"), "SUBDOMAIN_DEEP", "medium"),
         at_least(f("consonant_run"), "CONSONANT_RUN_LONG", "medium"),
         factor(shape & (f("sld_length") >= p["vowel_min_length"]) & (f("vowel_ratio") <= p["VOWEL_RATIO_LOW"][0]), "VOWEL_RATIO_LOW", "medium", p["VOWEL_RATIO_LOW"][1]),
         factor(shape & (f("sld_length") >= p["words_min_length"]) & (f("coverage") <= p["NO_DICTIONARY_WORDS"][0]), "NO_DICTIONARY_WORDS", "medium", p["NO_DICTIONARY_WORDS"][1]),
-        factor(shape & (f("tld_weight") > 0), "SUSPICIOUS_TLD", "medium", f("tld_weight") * p["SUSPICIOUS_TLD"]),
-        factor(semantic & (n_keywords > 0), "SUSPICIOUS_KEYWORD", "medium", F.least(F.lit(float(most)), f("keyword_weight") * first + (n_keywords - 1) * more)),
+        factor(shape & (f("tld_weight") > 0), "SUSPICIOUS_TLD", F.when(f("tld_weight") < p["tld_medium"], "low").otherwise("medium"), f("tld_weight") * p["SUSPICIOUS_TLD"]),
+        factor(semantic & (n_keywords > 0) & (keyword_points >= 1), "SUSPICIOUS_KEYWORD", F.when(f("keyword_weight") < p["keyword_medium"], "low").otherwise("medium"), keyword_points),
         factor(semantic & impersonates, "BRAND_IMPERSONATION", "high", p["BRAND_IMPERSONATION"]),
         factor(semantic & (how == "substring"), "BRAND_SUBSTRING", "low", p["BRAND_SUBSTRING"]),
         factor(semantic & f("is_punycode"), "PUNYCODE", "medium", p["PUNYCODE"]),
@@ -199,7 +201,7 @@ def behavioral(df: DataFrame, policy: Policy = POLICY, prefix: str = "") -> Data
     fired = indicated(
         (enough & (total >= p["burst"][0]), "query_burst", p["burst"][1]),
         (enough & (names >= p["fanout"][0]), "subdomain_fanout", p["fanout"][1]),
-        (enough & (missing >= p["nxdomain_min"]) & (missing / F.greatest(total, F.lit(1)) >= p["nxdomain"][0]), "high_nxdomain_ratio", p["nxdomain"][1]),
+        (enough & (total >= p["nxdomain_min_events"]) & (missing / F.greatest(total, F.lit(1)) >= p["nxdomain"][0]), "high_nxdomain_ratio", p["nxdomain"][1]),
         (enough & (blocked >= p["blocked"][0]), "repeatedly_blocked", p["blocked"][1]),
     )
     df = df.withColumn("_f", bound(fired))

@@ -161,7 +161,7 @@ def _activity(column: str, values: list[str], where: str = "true") -> str:
 
 _BEHAVIOUR = """
     case when total < 3 then 0 else case when total >= 20 then 26 else 0 end + case when distinct_names >= 8 then 30 else 0 end
-        + case when nxdomain >= 5 and nxdomain / total >= 0.5 then 22 else 0 end + case when {blocked} >= 3 then 20 else 0 end end::double as score
+        + case when total >= 5 and nxdomain / total >= 0.5 then 22 else 0 end + case when {blocked} >= 3 then 20 else 0 end end::double as score
 """
 _LISTED = ", ".join(f"'{s}'" for s in sorted(dims.REGISTRY_SUFFIXES + dims.PROVIDER_SUFFIXES) if "." in s)
 _LOCAL = ", ".join(f"'{s}'" for s in dims.LOCAL_SUFFIXES)

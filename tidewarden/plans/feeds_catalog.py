@@ -215,7 +215,7 @@ _WALK = """with recursive {views}, q as (select *, row_number() over (partition
                 select *, greatest(0, least(100, (0.2125 * risk_score + 0.1 * conf * bs) / (0.2125 + 0.1 * conf) + case when risk_score >= 70 and bs >= 70 then 8 else 0 end)) as raw from (
                     select *, case when bs > 0 then least(0.85, 0.5 + 0.01 * total) else 0 end as conf from (
                         select *, case when total < 3 then 0 else least(100, case when total >= 20 then 26 else 0 end + case when uniq >= 8 then 30 else 0 end
-                            + case when nx >= 5 and nx / total >= 0.5 then 22 else 0 end + case when held >= 3 then 20 else 0 end) end::double as bs from (
+                            + case when total >= 5 and nx / total >= 0.5 then 22 else 0 end + case when held >= 3 then 20 else 0 end) end::double as bs from (
                             select *, len(list_filter(seen, lambda x: x.dns)) + len(list_distinct(list_transform(list_filter(seen, lambda x: not x.dns), lambda x: x.domain))) as total,
                                 len(list_distinct(list_transform(seen, lambda x: x.domain))) as uniq, len(list_filter(seen, lambda x: x.blocked)) as held, len(list_filter(seen, lambda x: x.missing and not x.blocked)) as nx from (
                                 select *, list_filter(near, lambda x: x.ts < ts) as seen from (

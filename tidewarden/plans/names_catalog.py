@@ -209,7 +209,7 @@ _RULES = ", ".join([
     _rule("VOWEL_RATIO_LOW", f"shape and length(sld) >= {_L['vowel_min_length']} and vowel_ratio <= {_L['VOWEL_RATIO_LOW'][0]}", _L["VOWEL_RATIO_LOW"][1]),
     _rule("NO_DICTIONARY_WORDS", f"shape and length(sld) >= {_L['words_min_length']} and coverage <= {_L['NO_DICTIONARY_WORDS'][0]}", _L["NO_DICTIONARY_WORDS"][1]),
     _rule("SUSPICIOUS_TLD", "shape and tld_weight > 0", f"tld_weight * {_L['SUSPICIOUS_TLD']}"),
-    _rule("SUSPICIOUS_KEYWORD", "semantic and len(keywords) > 0", f"least({_MOST}, keyword_weight * {_FIRST} + (len(keywords) - 1) * {_MORE})"),
+    _rule("SUSPICIOUS_KEYWORD", f"semantic and len(keywords) > 0 and least({_MOST}, keyword_weight * {_FIRST} + (len(keywords) - 1) * {_MORE}) >= 1", f"least({_MOST}, keyword_weight * {_FIRST} + (len(keywords) - 1) * {_MORE})"),
     _rule("BRAND_IMPERSONATION", "semantic and how in ('brand_on_suspicious_tld', 'token', 'typosquat')", _L["BRAND_IMPERSONATION"]),
     _rule("BRAND_SUBSTRING", "semantic and how = 'substring'", _L["BRAND_SUBSTRING"]),
 ])
@@ -301,7 +301,7 @@ def _steps() -> tuple[str, str, list[str]]:
         ("ti_malicious_floor", f"verdict = 'MALICIOUS' and ic >= {_F['ti_floor_confidence']}", f"greatest({{x}}, {_F['ti_floor']})"),
         ("brand_impersonation_floor", brand, f"greatest({{x}}, {_F['brand_floor']})"),
         ("corroboration_bonus", f"{scopes} >= 2", f"{{x}} + {_F['corroboration'][1]}"),
-        ("tld_dga_bonus", f"{tld} and dc > 0 and dga_score >= {100 * _F['tld_dga'][0]}", f"{{x}} + {_F['tld_dga'][1]}"),
+        ("tld_dga_bonus", f"{tld} and dga_score >= {100 * _F['tld_dga'][0]}", f"{{x}} + {_F['tld_dga'][1]}"),
         ("corroborated_floor", several, f"greatest({{x}}, {_F['single'][2]})"),
         ("ti_trusted_ceiling", "verdict = 'TRUSTED' and not aside", f"least({{x}}, {_F['trusted_ceiling']})"),
         ("clamp", "true", "greatest(0, least(100, {x}))"),

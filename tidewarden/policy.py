@@ -21,7 +21,7 @@ DEFAULT: dict[str, Any] = {
         "encoded_payload": 26, "high_capacity_record": 12, "record_types": ["TXT", "NULL", "CNAME", "MX", "SRV", "ANY"], "confidence": [0.35, 0.6, 0.85],
     },
     "behavioral": {
-        "min_events": 3, "burst": [20, 26], "fanout": [8, 30], "nxdomain": [0.5, 22], "nxdomain_min": 5, "blocked": [3, 20],
+        "min_events": 3, "burst": [20, 26], "fanout": [8, 30], "nxdomain": [0.5, 22], "nxdomain_min_events": 5, "blocked": [3, 20],
         "confidence": [0.5, 0.01, 0.85], "window_minutes": 60,
     },
     "lexical": {
@@ -29,7 +29,7 @@ DEFAULT: dict[str, Any] = {
         "DIGIT_RATIO_HIGH": [0.20, 14], "DIGIT_RATIO_VERY_HIGH": [0.40, 10], "LENGTH_LONG": [25, 8], "LENGTH_VERY_LONG": [40, 8],
         "HYPHEN_MANY": [3, 10], "SUBDOMAIN_DEEP": [4, 10], "CONSONANT_RUN_LONG": [5, 12], "VOWEL_RATIO_LOW": [0.20, 12], "vowel_min_length": 8,
         "NO_DICTIONARY_WORDS": [0.20, 14], "words_min_length": 10, "SUSPICIOUS_TLD": 20, "SUSPICIOUS_KEYWORD": [16, 4, 20],
-        "BRAND_IMPERSONATION": 25, "BRAND_SUBSTRING": 10, "PUNYCODE": 15, "confidence": [0.85, 0.45], "short_label": 6,
+        "BRAND_IMPERSONATION": 25, "BRAND_SUBSTRING": 10, "PUNYCODE": 15, "tld_medium": 0.7, "keyword_medium": 0.6, "confidence": [0.85, 0.45], "short_label": 6,
     },
     "fusion": {
         "set_aside": 60, "ti_floor": 85, "ti_floor_confidence": 0.85, "brand_floor": 60, "corroboration": [70, 8], "tld_dga": [0.8, 5],
