@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidewarden import dims
+from tidewarden.functions import lexicon
 from tidewarden.functions import text as T
 from tidewarden.functions.text import bound
 
@@ -72,9 +73,10 @@ def lookup(table: dict[str, float], key: Column) -> Column:
     return F.coalesce(F.element_at(pairs, F.coalesce(key, F.lit(""))), F.lit(0.0))
 
 
-def featurize(df: DataFrame) -> DataFrame:
+def featurize(df: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Adds ``feat``. Shares of digits and hyphens are of the whole name without dots, those of vowels and consonants of its
-    letters; runs of consonants go by label. ``label_*``: the registrant's label, which coverage is of."""
+    letters; runs of consonants go by label. ``label_*``: the registrant's label, which coverage is of. ``words``: a lexicon
+    of any size, in place of the short one of ``dims``."""
     domain, suffix = F.coalesce("name.domain", F.lit("")), F.coalesce("name.public_suffix", F.lit(""))
     df = df.withColumns(
         {
@@ -90,6 +92,8 @@ def featurize(df: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("_keywords", T.minimal_matches(F.col("_semantic"), list(dims.KEYWORDS)))
+    if words is not None:
+        df = lexicon.coverage(df.withColumnRenamed("_letters", "_alphas"), words, "_sld").withColumnsRenamed({"_alphas": "_letters", "coverage": "_covered"})
     n, letters, flat = F.col("_n"), F.col("_letters"), F.col("_flat")
     keyword = F.exists(F.array(*map(F.lit, dims.KEYWORDS)), lambda k: F.contains("_analysed", k))
     weights = F.create_map(*(F.lit(x) for kv in dims.KEYWORDS.items() for x in kv))
@@ -107,11 +111,11 @@ def featurize(df: DataFrame) -> DataFrame:
         F.coalesce(F.array_max(F.transform("_labels", lambda x: T.max_run(x, T.CONSONANTS))), F.lit(0)).alias("consonant_run"),
         T.max_run(flat, "0-9").alias("digit_run"), T.max_repeat(flat).alias("repeat_run"),
         F.col("_h").alias("entropy"), T.entropy(F.col("_sld")).alias("sld_entropy"), F.when(n > 1, F.col("_h") / F.log2(n)).otherwise(0.0).alias("normalized_entropy"),
-        dictionary_coverage("_sld").alias("coverage"), lookup(dims.TLD_WEIGHTS, F.col("name.tld")).alias("tld_weight"), F.col("_keywords").alias("keywords"),
+        (dictionary_coverage("_sld") if words is None else F.col("_covered")).alias("coverage"), lookup(dims.TLD_WEIGHTS, F.col("name.tld")).alias("tld_weight"), F.col("_keywords").alias("keywords"),
         F.coalesce(F.array_max(F.transform("_keywords", lambda k: F.element_at(weights, k))), F.lit(0.0)).alias("keyword_weight"),
         F.when(F.col("name.is_ip_literal"), F.lit(None)).otherwise(brand).alias("brand"), F.col("name.is_punycode").alias("is_punycode"),
     )
-    return df.withColumn("feat", bound(feat)).drop("_domain", "_flat", "_sld", "_labels", "_analysed", "_bad_suffix", "_semantic", "_h", "_n", "_digits", "_hyphens", "_vowels", "_letters", "_keywords")
+    return df.withColumn("feat", bound(feat)).drop("_domain", "_flat", "_sld", "_labels", "_analysed", "_bad_suffix", "_semantic", "_h", "_n", "_digits", "_hyphens", "_vowels", "_letters", "_keywords", "_covered")
 
 
 def shown(df: DataFrame) -> DataFrame:

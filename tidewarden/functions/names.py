@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from tidewarden import dims
 from tidewarden.functions.text import bound
+from tidewarden.sources import suffix_rules
 
 LABEL = r"^[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?$"
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -95,10 +96,12 @@ def host_of(raw: Column) -> tuple[Column, Column]:
     return F.when(bracketed != "", bracketed).when(colons == 1, F.substring_index(authority, ":", 1)).otherwise(authority), was_url
 
 
-def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``name``: struct of domain, labels, tld, registrable_domain, sld, subdomain, public_suffix, flags and error_code.
+def canonicalize(df: DataFrame, raw: str = "raw", suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds ``name``: struct of domain, labels, tld, registrable_domain, sld, subdomain, public_suffix and its section, flags and
+    error_code.
 
-    A name that is no valid one has an error code and no domain; nothing raises. Null is EMPTY_INPUT."""
+    A name that is no valid one has an error code and no domain; nothing raises. Null is EMPTY_INPUT. ``suffixes``: rules as
+    ``suffix_rules.read_suffix_rules`` gives them, in place of the short list of ``dims``."""
     host, was_url = host_of(F.col(raw))
     df = df.withColumns({"_host": bound(F.coalesce(host, F.lit(""))), "_was_url": F.coalesce(was_url, F.lit(False))})
     odd = F.col("_host").rlike(r"[^\x00-\x7F]")
@@ -120,7 +123,14 @@ def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(F.length(domain) > 253, "DOMAIN_TOO_LONG")
         .otherwise(F.coalesce(F.try_element_at(F.filter(label_error, lambda e: e.isNotNull()), F.lit(1)), F.when((F.size(labels) > 1) & F.element_at(labels, -1).rlike(r"^\d+$"), "NUMERIC_TLD")))
     )
-    df = df.withColumns({"_error": bound(error), "_is_ip": bound(is_ip), "_suffix": bound(public_suffix(labels))})
+    df = df.withColumns({"_error": bound(error), "_is_ip": bound(is_ip)})
+    if suffixes is None:
+        df = df.withColumn("_suffix", bound(public_suffix(labels)))
+        section = F.when(F.col("_suffix").isin(dims.PROVIDER_SUFFIXES), "provider").when(F.col("_suffix").isin(dims.REGISTRY_SUFFIXES), "registry")
+    else:
+        df = suffix_rules.matched(df.withColumn("_split", F.when(~F.col("_is_ip") & F.col("_error").isNull(), labels)), suffixes, "_split")
+        df = df.withColumns({"_suffix": F.coalesce("suffix.public_suffix", F.element_at("_labels", -1)), "_section": F.col("suffix.section")}).drop("suffix", "_split")
+        section = F.col("_section")
     depth = F.size(F.split("_suffix", r"\."))
     n = F.size("_labels")
     own = F.when(n > depth, n - depth).otherwise(F.lit(1))  # labels before the suffix; a bare suffix keeps its first
@@ -134,6 +144,7 @@ def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
         F.when(named, F.element_at("_labels", own)).alias("sld"),
         F.when(named, F.array_join(F.slice("_labels", F.lit(1), own - 1), ".")).alias("subdomain"),
         F.when(named, F.col("_suffix")).alias("public_suffix"),
+        F.when(named, section).alias("suffix_section"),
         F.col("_is_ip").alias("is_ip_literal"),
         F.exists("_labels", lambda x: x.startswith("xn--")).alias("is_punycode"),
         (named & (n == 1)).alias("is_single_label"),
@@ -142,7 +153,7 @@ def canonicalize(df: DataFrame, raw: str = "raw") -> DataFrame:
         F.col("_error").alias("error_code"),
         F.col("_ip").alias("ip"),
     )
-    return df.withColumn("name", bound(name)).drop("_host", "_was_url", "_ascii", "_domain", "_ip", "_labels", "_error", "_is_ip", "_suffix")
+    return df.withColumn("name", bound(name)).drop("_host", "_was_url", "_ascii", "_domain", "_ip", "_labels", "_error", "_is_ip", "_suffix", "_section")
 
 
 def public_suffix(labels: Column) -> Column:
@@ -159,7 +170,8 @@ def classify(df: DataFrame) -> DataFrame:
     """Adds ``cls``: kind, suffix_kind, the six spans, reverse-DNS target, address facts and scripts. ``df`` has ``name``."""
     domain, labels, suffix = F.col("name.domain"), F.col("name.labels"), F.col("name.public_suffix")
     last = F.element_at(labels, -1)
-    provider = suffix.isin(dims.PROVIDER_SUFFIXES)
+    section = F.coalesce("name.suffix_section", F.lit(""))
+    provider = section == "provider"
     kind = (
         F.when(F.col("name.error_code").isNotNull(), F.lit(None))
         .when(F.col("name.is_ip_literal"), "IP_LITERAL")
@@ -169,7 +181,7 @@ def classify(df: DataFrame) -> DataFrame:
         .when(provider, "PROVIDER_HOST")
         .otherwise("REGISTRY_DOMAIN")
     )
-    suffix_kind = F.when(provider, "provider").when(suffix == "arpa", "infrastructure").when(suffix.isin(dims.LOCAL_SUFFIXES), "unregistered").when(suffix.isin(dims.REGISTRY_SUFFIXES), "registry").otherwise("unknown")
+    suffix_kind = F.when(provider, "provider").when(suffix == "arpa", "infrastructure").when(suffix.isin(dims.LOCAL_SUFFIXES), "unregistered").when(section == "registry", "registry").otherwise("unknown")
     df = df.withColumn("_kind", kind)
     has_label = F.col("_kind").isin("REGISTRY_DOMAIN", "PROVIDER_HOST", "SINGLE_LABEL")
     chosen = (F.col("_kind") == "REGISTRY_DOMAIN") | suffix.isin(dims.REGISTRANT_SHAPED) | (F.col("_kind") == "SINGLE_LABEL")

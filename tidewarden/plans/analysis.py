@@ -20,18 +20,19 @@ def default_model(spark) -> dict:
     return training.bigram_model(spark.createDataFrame([(w,) for w in dims.WORDS], "label string"))
 
 
-def features(df: DataFrame, raw: str = "raw") -> DataFrame:
-    return featurize(classify(canonicalize(df, raw)))
+def features(df: DataFrame, raw: str = "raw", suffixes: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """``suffixes``: rules from files (see sources.suffix_rules); ``lexicon``: words (see functions.lexicon)."""
+    return featurize(classify(canonicalize(df, raw, suffixes)), lexicon)
 
 
-def analyze(df: DataFrame, raw: str = "raw", query_type: str | None = None, history: DataFrame | None = None, known: DataFrame | None = None, model: dict | None = None, policy: Policy = POLICY) -> DataFrame:
+def analyze(df: DataFrame, raw: str = "raw", query_type: str | None = None, history: DataFrame | None = None, known: DataFrame | None = None, model: dict | None = None, policy: Policy = POLICY, suffixes: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """Adds name, cls, feat, intel, the five signals and ``assessment``.
 
-    ``history``: rows (registrable_domain, total, distinct_names, nxdomain, blocked), one a domain. A name that is none
-    keeps its error code and has no evidence."""
+    ``history``: rows (registrable_domain, total, distinct_names, nxdomain, blocked), one a domain. ``suffixes``, ``lexicon``:
+    see ``features``. A name that is none keeps its error code and has no evidence."""
     spark = df.sparkSession
     known = intel.candidates(dims.indicators(spark), dims.trusted(spark), policy) if known is None else known
-    out = features(df, raw).withColumns({"_domain": F.col("name.domain"), "_registrable": F.col("name.registrable_domain")})
+    out = features(df, raw, suffixes, lexicon).withColumns({"_domain": F.col("name.domain"), "_registrable": F.col("name.registrable_domain")})
     out = intel.lookup(out, known, "_domain", "_registrable", policy)
     if history is not None:
         out = out.join(history.withColumnRenamed("registrable_domain", "_registrable"), "_registrable", "left")
