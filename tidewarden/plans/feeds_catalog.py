@@ -74,17 +74,22 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type", "decision", "blocked", "response_code").agg(F.count(F.lit(1)).alias("n"), F.sum("risk_score").alias("risk"), F.sum(F.size("ti_categories")).alias("categories")).withColumn("ids", F.lit(kept).cast("long"))
 
 
-def _zeek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark, "zeek")
-    e = dns_events(spark, sf_dir).where("event_type = 'dns'")
+def zeek_log(e: DataFrame, path: str) -> None:
+    """Writes the events as four logs; rows whose ``domain`` is null have no query."""
+    spark = e.sparkSession
     fields = {
         "ts": F.format_string("%.6f", F.expr(MICROS) / 1e6), "id.orig_h": F.coalesce("client_address", F.lit("-")), "id.resp_h": F.lit("192.0.2.53"),
-        "query": F.when(F.col("id") % 10 == 0, "-").otherwise(F.concat("domain", F.lit("."))), "qtype_name": F.when(F.col("query_type") == "A", "-").otherwise(F.col("query_type")), "rcode_name": F.col("response_code"),
+        "query": F.coalesce(F.concat("domain", F.lit(".")), F.lit("-")), "qtype_name": F.when(F.col("query_type") == "A", "-").otherwise(F.col("query_type")), "rcode_name": F.col("response_code"),
     }
     header = "\n".join(["#separator \\x09", "#unset_field\t-", "#path\tdns", "#fields\t" + "\t".join(fields)])
     logs = spark.range(4).select(F.col("id").alias("log"), F.lit(0).alias("row"), F.lit(header).alias("value"))
     rows = e.select((F.col("id") % 4).alias("log"), F.lit(1).alias("row"), F.concat_ws("\t", *fields.values()).alias("value"))
     logs.unionByName(rows).repartition(4, "log").sortWithinPartitions("log", "row").select("value").write.text(path)
+
+
+def _zeek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "zeek")
+    zeek_log(dns_events(spark, sf_dir).where("event_type = 'dns'").withColumn("domain", F.when(F.col("id") % 10 > 0, F.col("domain"))), path)
     return zeek.read_zeek(spark, path).select("domain", "query_type", "source_ip", "dest_ip", F.round("timestamp", 3).alias("timestamp"), "is_response", "rcode")
 
 

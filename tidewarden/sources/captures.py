@@ -125,6 +125,28 @@ def _label(raw: bytes) -> str:
     return re.sub(r'["().;\\@$]|[^!-~]', lambda m: f"\\{m[0]}" if "!" <= m[0] <= "~" else f"\\{ord(m[0]):03d}", text)
 
 
+def name_at(message: bytes, at: int) -> tuple[list[str], int] | None:
+    """(labels, place after the name) of the name at a place; None if it is broken. Pointers lead backwards only."""
+    labels, here, after, least = [], at, None, at
+    while True:
+        if here >= len(message):
+            return None
+        size = message[here]
+        if size >= 0xC0:
+            target = int.from_bytes(message[here : here + 2], "big") & 0x3FFF
+            after = here + 2 if after is None else after
+            if target >= least:
+                return None
+            here = least = target
+        elif size > 63 or here + 1 + size > len(message):
+            return None
+        elif size == 0:
+            return labels, here + 1 if after is None else after
+        else:
+            labels.append(_label(message[here + 1 : here + 1 + size]))
+            here += 1 + size
+
+
 def questions(message: bytes) -> list[tuple[str, str, bool]]:
     """(name, type, is a response) of each question of a message; none if it is broken."""
     if len(message) < 12:
@@ -132,31 +154,77 @@ def questions(message: bytes) -> list[tuple[str, str, bool]]:
     flags, count = struct.unpack_from("!2H", message, 2)
     found, at = [], 12
     for _ in range(count):
-        labels, here, after, least = [], at, None, at
-        while True:
-            if here >= len(message):
-                return []
-            size = message[here]
-            if size >= 0xC0:  # a pointer, backwards only
-                target = int.from_bytes(message[here : here + 2], "big") & 0x3FFF
-                after = here + 2 if after is None else after
-                if target >= least:
-                    return []
-                here = least = target
-            elif size > 63 or here + 1 + size > len(message):
-                return []
-            elif size == 0:
-                after = here + 1 if after is None else after
-                break
-            else:
-                labels.append(_label(message[here + 1 : here + 1 + size]))
-                here += 1 + size
-        if after + 4 > len(message):
+        if not (got := name_at(message, at)) or got[1] + 4 > len(message):
             return []
-        (kind,) = struct.unpack_from("!H", message, after)
-        at = after + 4
-        if labels:
-            found.append((".".join(labels), TYPES.get(kind, f"TYPE{kind}"), bool(flags & 0x8000)))
+        (kind,) = struct.unpack_from("!H", message, got[1])
+        at = got[1] + 4
+        if got[0]:
+            found.append((".".join(got[0]), TYPES.get(kind, f"TYPE{kind}"), bool(flags & 0x8000)))
+    return found
+
+
+# The sections of a message that hold records, and types by what their data are.
+RECORD_SECTIONS = ("answer", "authority", "additional")
+OPT, ADDRESSES, NAMED = 41, {1: ipaddress.IPv4Address, 28: ipaddress.IPv6Address}, (2, 5, 12, 39)
+MX, TEXTS, SRV, SOA = 15, (16, 99), 33, 6
+
+
+def _data(message: bytes, at: int, size: int, kind: int) -> str:
+    """The data of a record as text: addresses, names, numbers and quoted strings; hexadecimal for other types."""
+    raw, names = message[at : at + size], []
+
+    def name(place: int) -> int:
+        got = name_at(message, place)
+        if not got or got[1] > at + size:
+            raise ValueError
+        names.append(".".join(got[0]) or ".")
+        return got[1]
+
+    if kind in ADDRESSES:
+        return str(ADDRESSES[kind](raw))
+    if kind in NAMED:
+        name(at)
+        return names[0]
+    if kind == MX:
+        name(at + 2)
+        return f"{int.from_bytes(raw[:2], 'big')} {names[0]}"
+    if kind == SRV:
+        name(at + 6)
+        return " ".join(map(str, struct.unpack_from("!3H", raw))) + f" {names[0]}"
+    if kind == SOA:
+        end = name(name(at)) - at
+        return f"{names[0]} {names[1]} " + " ".join(map(str, struct.unpack_from("!5I", raw, end)))
+    if kind in TEXTS:
+        parts, i = [], 0
+        while i < size:
+            parts.append('"' + raw[i + 1 : i + 1 + raw[i]].decode("latin-1").replace("\\", "\\\\").replace('"', '\\"') + '"')
+            i += 1 + raw[i]
+        return " ".join(parts)
+    return raw.hex()
+
+
+def records(message: bytes) -> list[tuple[str, str, str, int, int, str]]:
+    """(section, name, type, class, lifetime, data) of each record of a message, but for the pseudo-records of EDNS; none if
+    the message is broken. Lifetimes beyond 31 bits are 0."""
+    if len(message) < 12:
+        return []
+    asked, *counts = struct.unpack_from("!4H", message, 4)
+    found, at = [], 12
+    try:
+        for _ in range(asked):
+            at = name_at(message, at)[1] + 4
+        for section, count in zip(RECORD_SECTIONS, counts, strict=True):
+            for _ in range(count):
+                labels, at = name_at(message, at)
+                kind, group, ttl, size = struct.unpack_from("!2HIH", message, at)
+                at += 10
+                if at + size > len(message):
+                    return []
+                if kind != OPT:
+                    found.append((section, ".".join(labels) or ".", TYPES.get(kind, f"TYPE{kind}"), group, ttl if ttl < 1 << 31 else 0, _data(message, at, size, kind)))
+                at += size
+    except (TypeError, ValueError, IndexError, struct.error):  # a name, a field or the data end too soon
+        return []
     return found
 
 
