@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .store import settle, unused
 
 #: Tasks that the table is first stored by at most; rows of a block at most; rows that a task puts in order, about.
-BLOCKS, ROWS, PIECE = 65536, 2**20, 2**16
+BLOCKS, ROWS, PIECE = 65536, 2**20, 2**13
 #: Populations below it are drawn by numpy, which takes no larger ones.
 DIRECT = 10**9
 
