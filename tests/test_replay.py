@@ -5,9 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarden.operators import replay
+from tidewarden.operators import fusion, replay, scorers
 from tidewarden.plans.feeds_catalog import evidence
-from tidewarden.streaming import live
+from tidewarden.streaming import live, verdicts
 
 START = datetime.datetime(2024, 1, 1)
 SCHEMA = "id long, ts timestamp, domain string, registrable_domain string, event_type string, response_code string, risk_score int, extra string"
@@ -65,3 +65,66 @@ def test_stream_equals_a_walk(spark, tmp_path, cut):
     got = spark.read.parquet(path)
     assert got.select(F.max("batch")).first()[0] == 2
     assert found(got) == walked(rows, 90)
+
+
+@pytest.mark.parametrize("cut", [(30, 31, 90)])
+def test_keyed_state_equals_a_walk(spark, tmp_path, cut):
+    """Each micro-batch is a query that starts anew from its checkpoint."""
+    rows = made(120)
+    source, path, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", verdicts.PROVIDER)
+    try:
+        for a, b in zip((0, *cut), (*cut, len(rows)), strict=True):
+            spark.createDataFrame(rows[a:b], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+            events = evidence(live.event_stream(spark, source, SCHEMA))
+            assert verdicts.judge_into(events, path, checkpoint, 90, availableNow=True).awaitTermination(300)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = spark.read.parquet(path)
+    assert found(got) == walked(rows, 90)
+    assert {(r.id, r.ts, r.domain) for r in got.collect()} == {(r[0], r[1], r[2]) for r in rows}
+
+
+def test_missing_answers_count_by_share(spark):
+    """From five observations on, half of them missing is a finding, however few that are."""
+    rows = [(4, 2), (5, 2), (5, 3), (6, 3), (8, 4), (8, 3)]
+    df = spark.createDataFrame([(t, m, 1, 0) for t, m in rows], "total int, nxdomain int, distinct_names int, blocked int")
+    got = {(r.total, r.nxdomain): r.behavioral.score for r in scorers.behavioral(df).collect()}
+    assert got == {(4, 2): 0, (5, 2): 0, (5, 3): 22, (6, 3): 22, (8, 4): 22, (8, 3): 0}
+
+
+def test_short_verdicts_equal_the_assessment(spark):
+    """``fusion.blocks`` decides as ``assess`` does, on signals of all kinds."""
+    import random
+
+    rng = random.Random(8)
+    codes = {"lexical": ["BRAND_IMPERSONATION", "SUSPICIOUS_TLD", "LENGTH_LONG", "PUNYCODE"], "dga": ["DGA_HIGH"], "tunnel": ["DNS_TUNNEL_INDICATORS"], "ti": ["TI"], "behavioral": ["B"]}
+
+    def signal(name):
+        if rng.random() < 0.2:
+            return None
+        factors = [(c, "low", float(rng.choice([0, 10, 30]))) for c in codes[name] if rng.random() < 0.6]
+        scope = {"ti": None, "behavioral": None}.get(name, rng.choice(["registrant_label", "delegated_span", "controlled_span"]))
+        return (name, float(rng.choice([0, 25, 60, 70, 95])), rng.choice([0.0, 0.35, 0.85, 0.95]), scope, rng.choice(["MALICIOUS", "TRUSTED", "UNKNOWN"]) if name == "ti" else "SCORED", factors)
+
+    rows = []
+    for _ in range(600):
+        total, names, missing, blocked = rng.randint(0, 40), rng.randint(0, 12), rng.randint(0, 20), rng.randint(0, 6)
+        rows.append((*(signal(n) for n in replay.EVIDENCE), total, names, missing, blocked))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {scorers.SIGNAL}" for n in replay.EVIDENCE) + ", total int, distinct_names int, nxdomain int, blocked int")
+    out = fusion.assess(scorers.behavioral(df)).select("assessment.decision", "behavioral.score", "behavioral.confidence", "total", "distinct_names", "nxdomain", "blocked", *fusion.terms()).collect()
+    blocked = 0
+    for r in out:
+        own = scorers.behaved(r.total, r.distinct_names, r.nxdomain, r.blocked)
+        assert own == (r.score, pytest.approx(r.confidence))
+        assert fusion.blocks(r, *own) == (r.decision == "BLOCK")
+        blocked += r.decision == "BLOCK"
+    assert 100 < blocked < 500
+
+
+def test_a_busy_domain_in_many_slices(spark):
+    """Chains of verdicts that go on from slice to slice."""
+    rows = [(i, START + datetime.timedelta(minutes=i), f"h{i % 4}.busy.test", "busy.test", "dns", "NXDOMAIN" if i % 3 else "NOERROR", 66 + i % 6, "x") for i in range(400)]
+    got = found(replay.replay(evidence(spark.createDataFrame(rows, SCHEMA)), 20))
+    assert got == walked(rows, 20) and 0 < sum(b for _, _, b in got.values()) < 400

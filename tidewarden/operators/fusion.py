@@ -160,3 +160,60 @@ def top_factors(factors: Column, k: int = 5) -> Column:
     """The first factors with a contribution, rounded for display."""
     some = F.slice(F.filter(factors, lambda f: f["contribution"] > 0), 1, k)
     return F.transform(some, lambda f: F.struct(f["code"].alias("code"), f["severity"].alias("severity"), F.round(f["contribution"], 2).alias("contribution")))
+
+
+#: What ``blocks`` needs of a row, so that the verdict follows from the behavioural signal alone.
+TERMS = (
+    "trusted boolean, tunnel_loud boolean, weight double, weighed double, weight_aside double, weighed_aside double, ti_floor boolean, brand boolean, scopes int, scopes_aside int, "
+    "tld_dga boolean, several boolean"
+)
+
+
+def terms(policy: Policy = POLICY) -> list[Column]:
+    """The columns of ``TERMS`` from the signals ti, dga, lexical and tunnel; those that end in _aside are for a row whose
+    trusted entry is set aside."""
+    w, p = policy.get("weights"), policy.get("fusion")
+    score = {n: F.coalesce(F.col(f"{n}.score"), F.lit(0.0)) for n in SIGNALS[:-1]}
+    conf = {n: F.coalesce(F.col(f"{n}.confidence"), F.lit(0.0)) for n in SIGNALS[:-1]}
+    factors = {n: F.coalesce(F.col(f"{n}.factors"), F.array().cast("array<struct<code:string,severity:string,raw_points:double>>")) for n in SIGNALS[:-1]}
+    is_verdict = lambda v: F.coalesce(F.col("ti.verdict") == v, F.lit(False))
+    has = lambda n, code: F.exists(factors[n], lambda f: f["code"] == code)
+    strong = {n: F.when((conf[n] > 0) & (score[n] >= p["corroboration"][0]), F.coalesce(F.nullif(F.col(f"{n}.scope_key"), F.lit("")), F.lit(f"#{n}"))) for n in SIGNALS[:-1]}
+    scopes = lambda names: F.size(independent_scopes(F.filter(F.array(*(strong[n] for n in names)), lambda k: k.isNotNull())))
+    several = F.lit(False)
+    for n in SIGNALS[:-1]:
+        pointed = F.filter(factors[n], lambda f: F.coalesce(f["raw_points"], F.lit(0.0)) > 0)
+        counting = F.when(F.size(pointed) > 0, pointed).otherwise(factors[n])  # without points they share alike
+        several = several | ((conf[n] > 0) & (score[n] >= p["single"][0]) & (F.size(F.array_distinct(F.transform(counting, lambda f: f["code"]))) >= p["single"][1]))
+
+    def summed(of, names) -> Column:
+        out = F.lit(0.0)
+        for n in names:  # in the order that ``assess`` adds them
+            out = out + of(n)
+        return out
+
+    weigh = lambda n: w[n] * conf[n]
+    every, rest = SIGNALS[:-1], SIGNALS[1:-1]
+    columns = (
+        is_verdict("TRUSTED"), (conf["tunnel"] > 0) & (score["tunnel"] >= p["set_aside"]), summed(weigh, every), summed(lambda n: weigh(n) * score[n], every), summed(weigh, rest), summed(lambda n: weigh(n) * score[n], rest),
+        is_verdict("MALICIOUS") & (conf["ti"] >= p["ti_floor_confidence"]), has("lexical", "BRAND_IMPERSONATION"), scopes(every), scopes(rest),
+        has("lexical", "SUSPICIOUS_TLD") & (score["dga"] >= 100 * p["tld_dga"][0]), several,
+    )
+    return [c.alias(t.split()[0]) for c, t in zip(columns, TERMS.split(", "), strict=True)]
+
+
+def blocks(t, score: float, confidence: float, policy: Policy = POLICY) -> bool:
+    """Whether ``assess`` decides BLOCK for a row with these terms and this behavioural signal; the tests hold the two together."""
+    w, p = policy.values["weights"]["behavioral"], policy.values["fusion"]
+    aside = t.trusted and (t.tunnel_loud or confidence > 0 and score >= p["set_aside"])
+    own = w * confidence
+    weight, weighed, scopes = (t.weight_aside, t.weighed_aside, t.scopes_aside) if aside else (t.weight, t.weighed, t.scopes)
+    x = (weighed + own * score) / (weight + own) if weight + own > 0 else 0.0
+    loud = scopes + (confidence > 0 and score >= p["corroboration"][0])
+    for holds, to in (
+        (t.ti_floor and not aside, lambda x: max(x, p["ti_floor"])), (t.brand, lambda x: max(x, p["brand_floor"])), (loud >= 2, lambda x: x + p["corroboration"][1]), (t.tld_dga, lambda x: x + p["tld_dga"][1]),
+        (t.several, lambda x: max(x, p["single"][2])), (t.trusted and not aside, lambda x: min(x, p["trusted_ceiling"])), (True, lambda x: max(0.0, min(100.0, x))),
+    ):
+        if holds and abs(to(x) - x) >= p["least_move"]:
+            x = to(x)
+    return next((row[1] for row in policy.values["bands"] if row[2] <= round(x) <= row[3]), "MONITOR") == "BLOCK"

@@ -214,6 +214,19 @@ def behavioral(df: DataFrame, policy: Policy = POLICY, prefix: str = "") -> Data
     return df.withColumn("behavioral", signal("behavioral", F.col("_score"), confidence, F.lit(None), verdict, found)).drop("_f", "_score")
 
 
+def behaved(total: int, names: int, missing: int, blocked: int, policy: Policy = POLICY) -> tuple[float, float]:
+    """(score, confidence) that ``behavioral`` gives for these counts; for scans that go row by row."""
+    p = policy.values["behavioral"]
+    if total < p["min_events"]:
+        return 0.0, 0.0
+    ratio = missing / max(total, 1)
+    fired = [points for holds, points in (
+        (total >= p["burst"][0], p["burst"][1]), (names >= p["fanout"][0], p["fanout"][1]), (total >= p["nxdomain_min_events"] and ratio >= p["nxdomain"][0], p["nxdomain"][1]), (blocked >= p["blocked"][0], p["blocked"][1]),
+    ) if holds]
+    base, step, most = p["confidence"]
+    return (float(max(0.0, min(100.0, sum(fired)))), min(most, base + step * total)) if fired else (0.0, 0.0)
+
+
 def intel(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """Adds ``ti`` from the column ``intel``. Trusted names vote 0 with confidence; unknown ones abstain."""
     p = policy.get("intel")

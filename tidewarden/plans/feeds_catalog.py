@@ -16,7 +16,7 @@ from tidewarden.plans import names_catalog as names
 from tidewarden.plans.views import DNS_EVENTS_SQL, as_dns, dns_events
 from tidewarden.shared import shared_folder
 from tidewarden.sources import captures, event_store, zeek
-from tidewarden.streaming import live
+from tidewarden.streaming import live, verdicts
 
 #: Raw input around the borders of what a name may be.
 RAW = [
@@ -162,6 +162,24 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.round("behavioral_score", 6).alias("behavioral_score"), F.round("raw_score", 6).alias("raw_score"), "risk_score", "decision", "blocked")
 
 
+def _stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts from a stream: files in order of time, one a micro-batch, and a state for each domain."""
+    path, name = shared_folder(spark, "verdicts"), "spark.sql.streaming.stateStore.providerClass"
+    stored = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stored.repartitionByRange(3, "ts", "event_id").write.parquet(f"{path}/arriving")
+    for f in range(3):  # files arrive in order of their names
+        spark.read.schema(stored.schema).parquet(f"{path}/arriving/part-{f:05d}*").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    events = as_dns(live.event_stream(spark, f"{path}/in", stored.schema, files=1)).withColumn("ts", F.col("ts").cast("timestamp"))
+    before = spark.conf.get(name)
+    spark.conf.set(name, verdicts.PROVIDER)
+    try:
+        verdicts.judge_into(evidence(events), f"{path}/out", f"{path}/checkpoint", DAY, watermark="0 seconds", availableNow=True).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("id", F.round("behavioral_score", 6).alias("behavioral_score"), F.round("raw_score", 6).alias("raw_score"), "risk_score", "decision", "blocked")
+
+
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.generated_names(spark, 200, dims.WORDS)
 
@@ -177,7 +195,7 @@ def queries() -> dict:
     return {
         "name_errors": _name_errors, **{f"capture_{t}": _capture(t) for t in ("findings", "sources", "types", "totals", "rejected")}, "gateway_outcomes": _gateway, "block_reasons": _reasons,
         "decision_shares": lambda spark, sf_dir: dashboards.shares(dns_events(spark, sf_dir), "decision"), "stored_events": _stored, "zeek_queries": _zeek, "pcap_questions": _pcap, "stream_hourly": _stream_hourly,
-        "family_separation": _separation, "sql_functions": _sql_functions, "replayed_verdicts": _replayed, "generated_names": _families, "family_scores": _family_scores,
+        "family_separation": _separation, "sql_functions": _sql_functions, "replayed_verdicts": _replayed, "stream_verdicts": _stream_verdicts, "generated_names": _families, "family_scores": _family_scores,
     }
 
 
@@ -275,5 +293,6 @@ ORACLE_SQL = {
         select family, round(avg(score), 6) as mean, round(list_sort(list(score))[count(*) // 2 + 1], 6) as median, round(avg((score >= 0.5)::int), 6) as share from s group by 1""",
     "sql_functions": f"""with {names.NAMES_SQL} select raw, round({names._entropy("flat")}, 6) as entropy, registrable, kind, (i - 1)::int as depth, array_to_string(labels[i:], '.') as suffix from spans, range(1, 64) r(i) where i <= len(labels)""",
     "replayed_verdicts": _WALK.replace("{views}", DNS_EVENTS_SQL),
+    "stream_verdicts": _WALK.replace("{views}", DNS_EVENTS_SQL),
     "generated_names": f"with r as (select range as i from range(200)) {_FAMILY} union all select 'word_pair', i, {_PAIR} from r",
 }
