@@ -1,11 +1,14 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a tree of elements. What its tag or role declares to be no article text (menus, headers, footers, forms)
-is pruned. Every other node gets its composite text density, the characters for each tag, lowered by the share of links;
-a node's density sum is that of its children. The threshold is the least density on the way from the body to the node
-with the largest sum; from the body down, each subtree whose density reaches it gives its node with the largest sum, and
-that node's text is the page's. Class and id names only weigh: a block named as a sidebar, notice, advert or comments
-counts for less in its parent's sum, and is left out of a chosen text of which it is the lesser part.
+is pruned. Every other block gets its composite text density, the characters for each tag, lowered by the share of links;
+inline elements are part of their block's text. A block's density sum is that of its text and of the blocks right below
+it, and the block with the largest sum is the article; a paragraph alone is none. Class and id names delete nothing:
+a block that is named as a sidebar, notice, advert or comments has its density and sum lowered, as have blocks outside
+the article or main element of a page that has one.
+
+The threshold is the least density on the way from the body to the chosen block. Inside it, lists of links and blocks with
+lowered density are left out if they don't reach the threshold.
 """
 
 from __future__ import annotations
@@ -41,11 +44,19 @@ BOILERPLATE = frozenset(
     "share sharing social skyscraper toolbar tags".split()
 )
 HEADERS = frozenset("header topbar".split())
+#: Words that say nothing beside these: a name counts if all its other words do.
+PLAIN = frozenset(
+    "site page main global top bottom left right upper lower inner outer primary secondary mobile desktop sticky fixed fluid full "
+    "block box wrap wrapper container holder section region area column col row panel module item items list links link bar group unit slot "
+    "post posts article articles content entry entries reader user form thread button buttons icons".split()
+)
 ARTICLES = ("article", "main")
 #: Elements that hold running text; their names say nothing about their part in the page.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption".split()) | INLINE
-#: Depth beyond which elements are siblings, as in browsers; share of its density that a named block keeps.
-DEPTH, NAMED = 512, 0.25
+#: Depth beyond which elements are siblings, as in browsers; share of its density that a lowered block keeps.
+DEPTH, LOWERED = 512, 0.25
+#: What is left of a density that links have used up.
+FLOOR = 1e-3
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -157,8 +168,10 @@ class Page:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 if name not in ARTICLES and name not in PROSE:
-                    words = {w.lower() for w in _NAME.findall(value)}
-                    named = named or bool(words & BOILERPLATE or words & HEADERS and not inside)
+                    marks = BOILERPLATE if inside else BOILERPLATE | HEADERS
+                    for one in value.split():
+                        words = {w.lower() for w in _NAME.findall(one)}
+                        named = named or bool(words & marks) and words <= marks | PLAIN
             elif key == "role":
                 if value.strip().lower() in NO_ROLE:
                     return True, False
@@ -166,124 +179,85 @@ class Page:
                 return True, False
         return False, named
 
-    def _drop_named(self, roots: set[int]) -> None:
-        """Leaves out of the chosen texts the blocks whose class or id speaks against them, but none that holds most of it:
-        of the text in article elements, or without any in the main element or in what was chosen."""
-        if not any(self.named):
-            return
-        parent, tag, n = self.parent, self.tag, len(self.parent)
-        chosen = [False] * n
-        for i in range(n):
-            chosen[i] = not self.out[i] and (i in roots or i > 0 and chosen[parent[i]])
-        for kind in (*ARTICLES, None):
-            inside, chars = [kind is None] * n, [0] * n
-            for i in range(1, n):
-                inside[i] = inside[i] or tag[i] == kind or inside[parent[i]]
-            for i, text in self.pieces:
-                if text and chosen[i] and inside[i]:
-                    chars[i] += len(text.strip())
-            for i in range(n - 1, 0, -1):
-                chars[parent[i]] += chars[i]
-            if chars[0]:
-                break
-        for i in range(n):
-            if self.named[i] and i not in roots and 2 * chars[i] <= chars[0]:
-                self.out[i] = True
-
     def densities(self) -> tuple[list[float], list[float]]:
-        """Composite text density and density sum of every node; pruned ones have none."""
+        """Composite text density and density sum of every block; pruned and inline elements have none."""
         parent, tag, n = self.parent, self.tag, len(self.parent)
-        out, link = [False] * n, [False] * n
-        for i in range(n):
+        out, link, block, held = [False] * n, [False] * n, list(range(n)), [False] * n
+        for i in range(1, n):
             up = parent[i]
-            out[i] = self.pruned[i] or (up >= 0 and out[up])
-            link[i] = tag[i] == "a" or (up >= 0 and link[up])
-        self.out = out
+            out[i] = self.pruned[i] or out[up]
+            link[i] = tag[i] == "a" or link[up]
+            held[i] = tag[i] in ARTICLES or held[up]
+            if tag[i] in INLINE:
+                block[i] = block[up]
         chars, linked, own, tags, links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
         for i, text in self.pieces:
             if text and not out[i] and (size := len(text.strip())):
-                own[i] += size
                 chars[i] += size
                 if link[i]:
                     linked[i] += size
+                else:
+                    own[block[i]] += size
         for i in range(n - 1, 0, -1):
             if not out[i]:
-                up = parent[i]
+                up, is_link = parent[i], tag[i] == "a"
                 chars[up] += chars[i]
                 linked[up] += linked[i]
-                tags[up] += tags[i] + 1
-                links[up] += links[i] + (tag[i] == "a")
-        body_share = linked[self.body] / max(1, chars[self.body])
-        density, total = [0.0] * n, [float(x) for x in own]
+                tags[up] += tags[i] + (is_link or tag[i] not in INLINE)
+                links[up] += links[i] + is_link
+        share = linked[self.body] / max(1, chars[self.body])
+
+        def composite(c: int, lc: int, t: int, lt: int) -> float:
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            ratio = c / max(1, lc) * t / max(1, lt)
+            return c / t * max(FLOOR, math.log(ratio, max(base, 1 + 1e-9)) if ratio > 1 else 0.0)
+
+        # What an article or main element holds, and what leads to it, is not lowered for being outside.
+        told = any(tag[i] in ARTICLES and chars[i] and not out[i] for i in range(n))
+        leads = [False] * n
+        for i in range(n - 1, 0, -1):
+            if tag[i] in ARTICLES and chars[i] and not out[i] or leads[i]:
+                leads[parent[i]] = True
+        lowered = [False] * n
+        for i in range(1, n):
+            lowered[i] = tag[i] not in ARTICLES and (self.named[i] or lowered[parent[i]] or told and not held[i] and not leads[i])
+        density, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
-            if out[i] or not chars[i]:
+            if out[i] or not chars[i] or block[i] != i:
                 continue
-            c, lc, t, lt = chars[i], linked[i], max(1, tags[i]), links[i]
-            base = math.log(c / max(1, c - lc) * lc + body_share * c + math.e)
-            density[i] = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1e-9, max(base, 1 + 1e-9)) if c / max(1, lc) * t / max(1, lt) > 1 else 0.0
-            if self.named[i]:
-                density[i], total[i] = density[i] * NAMED, total[i] * NAMED
+            weight = LOWERED if lowered[i] else 1.0
+            density[i] = weight * composite(chars[i], linked[i], max(1, tags[i]), links[i])
+            if own[i]:
+                total[i] += composite(own[i], 0, 1, 0)
+            total[i] *= weight
             if i:
-                total[parent[i]] += density[i]
-        self.chars, self.linked = chars, linked
+                total[block[parent[i]]] += density[i] / (LOWERED if lowered[block[parent[i]]] and weight < 1 else 1.0)
+        self.out, self.chars, self.linked, self.lowered, self.leads = out, chars, linked, lowered, leads
         return density, total
 
-    def chosen(self) -> set[int]:
-        """The nodes whose text is the article's."""
+    def chosen(self) -> int | None:
+        """The block whose text is the article's; what it holds that doesn't reach the threshold is marked as out."""
         density, total = self.densities()
-        parent, n = self.parent, len(self.parent)
-        best = max((i for i in range(n) if not self.out[i]), key=lambda i: (total[i], -i))
-        if not total[best]:
-            return set()
+        places = [i for i in range(self.body, len(self.parent)) if total[i] and (i == self.body or self.tag[i] not in PROSE)]
+        if not places:
+            return None
+        best = max(places, key=lambda i: (total[i], -i))
         threshold, i = density[best], best
         while i > self.body:
-            threshold, i = min(threshold, density[i]), parent[i]
-        # the best node of each subtree, from below
-        top = list(range(n))
-        for i in range(n - 1, 0, -1):
-            up = parent[i]
-            if not self.out[i] and total[top[i]] > total[top[up]]:
-                top[up] = top[i]
-        found: set[int] = set()
-        level = [self.body]
-        while level:
-            below = []
-            for i in level:
-                if self.out[i] or not self.chars[i]:
-                    continue
-                if density[i] >= threshold:
-                    found.add(self._whole(top[i]))
-                else:
-                    below += self.children().get(i, ())
-            level = below
-        return found or {self._whole(best)}
-
-    def children(self) -> dict[int, list[int]]:
-        if not hasattr(self, "_children"):
-            self._children: dict[int, list[int]] = {}
-            for i, up in enumerate(self.parent):
-                self._children.setdefault(up, []).append(i)
-        return self._children
-
-    def _whole(self, i: int) -> int:
-        """A part stands for its parent, up to the article or main element, as long as what the parent adds is no list of
-        links."""
-        while self.tag[i] not in ARTICLES and (up := self.parent[i]) > self.body:
-            more, links = self.chars[up] - self.chars[i], self.linked[up] - self.linked[i]
-            if links > more / 3:
-                break
-            i = up
-        return i
+            i = self.parent[i]
+            threshold = min(threshold, density[i]) if density[i] else threshold
+        for i in range(best + 1, len(self.parent)):
+            if density[i] < threshold and self.tag[i] not in PROSE and self.tag[i] not in ARTICLES and not self.leads[i]:
+                self.out[i] = self.out[i] or self.lowered[i] and not self.lowered[best] or 2 * self.linked[i] > self.chars[i] > 0
+        return best
 
     def text(self) -> str:
-        roots = self.chosen()
-        if not roots:
+        best = self.chosen()
+        if best is None:
             return ""
-        self._drop_named(roots)
-        n = len(self.parent)
-        inside = [False] * n
-        for i in range(n):
-            inside[i] = not self.out[i] and (i in roots or (i > 0 and inside[self.parent[i]]))
+        inside = [False] * len(self.parent)
+        for i in range(best, len(self.parent)):
+            inside[i] = not self.out[i] and (i == best or inside[self.parent[i]])
         blocks, line = [], []
         for i, text in self.pieces:
             if text is None:
