@@ -62,3 +62,17 @@ def test_terms_between_marks_are_learned(spark):
         model = toxicity.fit(spark.createDataFrame(rows, "toxic int, text string"))
         docs = spark.createDataFrame([(1, f"aa {term}"), (2, words(rng, 30))], "doc_id long, text string")
         assert {r.doc_id: r.predicted for r in toxicity.predict(docs, model).collect()} == {1: 1, 2: 0}
+
+
+def test_terms_inside_words_count_alike_at_every_length():
+    lexicon = toxicity.Lexicon({"idiot$": 0.9, "fool$": 0.8, "vequ": 0.8}, frozenset(["patriotidiotic", "x" * 70 + "idiotic"]))
+    for n in (3, 20, 58, 59, 60, 64, 70, 500):
+        assert lexicon.weight("x" * n + "idiot") == lexicon.weight("x" * n + "idiot" + "y" * n) == 0.9
+        assert lexicon.weight("x" * n + "fool") == 0  # too short a term to be told from a syllable
+    assert lexicon.weight("patriotidiotic") == lexicon.weight("x" * 70 + "idiotic") == 0  # clean texts use them
+
+
+def test_an_inch_mark_closes_no_quotation():
+    words = ['"stray', *["plain"] * 1000, "you", "idiot", *["plain"] * 20, '5"', "wide"]
+    assert not any(toxicity.quoted_words(words))
+    assert toxicity.quoted_words(['"you', 'idiot"', "x"]) == [True, True, False] and toxicity.quoted_words(['"a', '5"', 'b"']) == [True, True, True]

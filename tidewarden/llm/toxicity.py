@@ -46,8 +46,10 @@ _INSIDE = re.compile(r"[\W_]+")
 #: Scripts written without spaces (Thai to Lao, Burmese, Khmer, kana and Han); their words are runs of 2 to 4 characters.
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{2,}")
 RUNS = range(2, 5)
-#: Letters from which on a token is no single word: terms are sought inside it, and it isn't remembered.
-LONG = 64
+#: Letters of a term from which on it counts inside another word, of any length, that clean texts don't use.
+INSIDE = 5
+#: Letters beyond which a token isn't remembered; it is read like any other.
+REMEMBERED = 64
 
 
 def core(token: str) -> str:
@@ -151,7 +153,8 @@ class Lexicon:
         return best
 
     def inside(self, word: str) -> list[str]:
-        """The whole-word terms that begin anywhere in a word, the longest at each place, none within another."""
+        """The terms of ``INSIDE`` letters or more, of those that misspellings are sought of, that begin anywhere in a word, the
+        longest at each place, none within another."""
         out, at = [], 0
         while at < len(word):
             node, found, end = self.root, None, at + 1
@@ -159,7 +162,7 @@ class Lexicon:
                 node = node.get(word[i])
                 if node is None:
                     break
-                if "$" in node:
+                if "$" in node and i + 1 - at >= INSIDE and self.edits[node["$"][""]]:
                     found, end = node["$"][""], i + 1
             if found:
                 out.append(found)
@@ -184,9 +187,11 @@ class Lexicon:
     def _weight(self, word: str) -> float:
         if term := self.exact(word):
             return self.terms[term]
-        if len(word) > LONG and (hits := [self.terms[t] for t in self.inside(word)]):
+        if word in self.known:
+            return 0.0
+        if hits := [self.terms[t] for t in self.inside(word)]:
             return 1 - math.prod(1 - w for w in hits)
-        if not self.any_part or word in self.known or not self.any_part(word):
+        if not self.any_part or not self.any_part(word):
             return 0.0
         found = self.near(word)
         return self.terms[found[1]] * PER_EDIT ** found[0] if found else 0.0
@@ -198,20 +203,20 @@ class Weights(dict):
 
     def __missing__(self, token: str) -> float:
         got = self.lexicon.weight(token)
-        if len(self) < CACHE_ENTRIES and len(token) <= LONG:
+        if len(self) < CACHE_ENTRIES and len(token) <= REMEMBERED:
             self[token] = got
         return got
 
 
 def quoted_words(tokens: list[str]) -> list[bool]:
     """Which words are in quotation marks. A quotation ends at its closing mark, however far; a mark that another opening
-    mark follows before any closing one opens nothing."""
+    mark follows before any closing one opens nothing, and a straight mark after a digit (inches) closes nothing."""
     out, opened = [False] * len(tokens), None
     for i, token in enumerate(tokens):
         opens = token[0] in OPENING
         if opens:
             opened = i
-        if opened is not None and any(c in (token[1:] if opens else token) for c in CLOSING):
+        if opened is not None and any(c in CLOSING and not (c == '"' and k and token[k - 1].isdigit()) for k, c in enumerate(token) if k or not opens):
             out[opened : i + 1] = [True] * (i + 1 - opened)
             opened = None
     return out
