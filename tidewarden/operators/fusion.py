@@ -74,21 +74,23 @@ OVERRIDES = {
 NAMES = {"ti": "threat_intel"}
 
 
-def assess(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
+def assess(df: DataFrame, policy: Policy = POLICY, weights: dict[str, float] | None = None) -> DataFrame:
     """Adds ``assessment``: struct(score, raw_score, classification, decision, confidence, coverage, factors, overrides).
 
-    ``df`` has a signal column for each detector; a null signal abstains."""
-    w, p = policy.get("weights"), policy.get("fusion")
-    s = {n: (F.coalesce(F.col(f"{n}.score"), F.lit(0.0)), F.coalesce(F.col(f"{n}.confidence"), F.lit(0.0))) for n in SIGNALS}
+    ``df`` has a signal column for each detector; a null signal abstains. ``weights``: the detectors and their weights, the
+    built-in ones and any others (see ``detectors``); by default the policy's."""
+    w, p = weights or policy.get("weights"), policy.get("fusion")
+    signals = tuple(dict.fromkeys([*SIGNALS, *w]))
+    s = {n: (F.coalesce(F.col(f"{n}.score"), F.lit(0.0)), F.coalesce(F.col(f"{n}.confidence"), F.lit(0.0))) for n in signals}
     has = lambda n, code: F.exists(F.coalesce(F.col(f"{n}.factors"), F.array()), lambda f: f["code"] == code)
     trusted, malicious = (F.coalesce(F.col("ti.verdict") == v, F.lit(False)) for v in ("TRUSTED", "MALICIOUS"))
     loud = lambda n: (s[n][1] > 0) & (s[n][0] >= p["set_aside"])
     df = df.withColumn("_aside", trusted & (loud("tunnel") | loud("behavioral")))
     df = df.withColumns({f"_c_{n}": F.when(F.col("_aside"), 0.0).otherwise(c) if n == "ti" else c for n, (_, c) in s.items()})
-    weight = {n: w[n] * F.col(f"_c_{n}") for n in SIGNALS}
+    weight = {n: w[n] * F.col(f"_c_{n}") for n in signals}
     total = sum(weight.values(), F.lit(0.0))
     df = df.withColumn("_w", total)
-    base = F.when(F.col("_w") > 0, sum((weight[n] * s[n][0] for n in SIGNALS), F.lit(0.0)) / F.col("_w")).otherwise(0.0)
+    base = F.when(F.col("_w") > 0, sum((weight[n] * s[n][0] for n in signals), F.lit(0.0)) / F.col("_w")).otherwise(0.0)
     df = df.withColumn("_s0", base)
 
     def shares(n: str) -> Column:
@@ -108,8 +110,8 @@ def assess(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
         lone = F.array(F.struct(F.lit(n.upper()).alias("code"), F.lit(n).alias("signal"), F.lit("info").alias("severity"), part.alias("raw_points"), part.alias("contribution")))
         return F.when(F.size(factors) > 0, dealt).otherwise(F.when(part > 0, lone).otherwise(F.filter(lone, lambda x: F.lit(False))))
 
-    df = df.withColumn("_factors", bound(F.flatten(F.array(*(shares(n) for n in SIGNALS)))))
-    names, conf = list(SIGNALS), {n: F.col(f"_c_{n}") for n in SIGNALS}
+    df = df.withColumn("_factors", bound(F.flatten(F.array(*(shares(n) for n in signals)))))
+    names, conf = list(signals), {n: F.col(f"_c_{n}") for n in signals}
     strong = F.filter(
         F.array(*(F.when((conf[n] > 0) & (s[n][0] >= p["corroboration"][0]), F.coalesce(F.nullif(F.col(f"{n}.scope_key"), F.lit("")), F.lit(f"#{n}"))) for n in names)),
         lambda k: k.isNotNull(),
@@ -145,7 +147,7 @@ def assess(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
     raw = F.col(f"_s{len(steps)}")
     confidence = F.greatest(*conf.values())
     names_of = F.create_map(*(F.lit(x) for name, code in OVERRIDES.items() for x in (code, name)))
-    contributing = F.filter(F.array(*(F.when(weight[n] * s[n][0] > 0, NAMES.get(n, n)) for n in SIGNALS)), lambda x: x.isNotNull())
+    contributing = F.filter(F.array(*(F.when(weight[n] * s[n][0] > 0, NAMES.get(n, n)) for n in signals)), lambda x: x.isNotNull())
     assessment = F.struct(
         F.bround(raw, 0).cast("int").alias("score"), raw.alias("raw_score"), band(raw, 0, policy).alias("classification"), band(raw, 1, policy).alias("decision"),
         confidence.alias("confidence"), (F.col("_w") / sum(w.values())).alias("coverage"),
@@ -153,7 +155,7 @@ def assess(df: DataFrame, policy: Policy = POLICY) -> DataFrame:
         F.transform(F.filter("_moved", lambda f: f["code"] != OVERRIDES["clamp"]), lambda f: F.element_at(names_of, f["code"])).alias("overrides"),
         advice(band(raw, 1, policy), F.coalesce("ti.verdict", F.lit("UNKNOWN")), s["dga"][0], contributing, F.col("_w") > 0).alias("recommendation"),
     )
-    return df.withColumn("assessment", bound(assessment)).drop("_aside", "_w", "_factors", "_moved", *(f"_c_{n}" for n in SIGNALS), *(f"_s{i}" for i in range(len(steps) + 1)))
+    return df.withColumn("assessment", bound(assessment)).drop("_aside", "_w", "_factors", "_moved", *(f"_c_{n}" for n in signals), *(f"_s{i}" for i in range(len(steps) + 1)))
 
 
 def top_factors(factors: Column, k: int = 5) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewarden import dims
 from tidewarden.functions.features import featurize
 from tidewarden.functions.names import canonicalize, classify
-from tidewarden.operators import fusion, intel, scorers, training
+from tidewarden.operators import detectors, fusion, intel, scorers, training
 from tidewarden.policy import POLICY, Policy
 
 
@@ -38,9 +38,17 @@ def analyze(df: DataFrame, raw: str = "raw", query_type: str | None = None, hist
         out = out.join(history.withColumnRenamed("registrable_domain", "_registrable"), "_registrable", "left")
     else:
         out = out.withColumns({c: F.lit(0) for c in scorers.HISTORY})
-    out = scorers.behavioral(out, policy).drop(*scorers.HISTORY, "_domain", "_registrable", "max_risk")
-    out = scorers.lexical(scorers.dga(scorers.intel(out, policy), model or default_model(spark), policy), policy)
-    return fusion.assess(scorers.tunnel(out, query_type, policy), policy)
+    own = {
+        "behavioral": lambda df: scorers.behavioral(df, policy), "ti": lambda df: scorers.intel(df, policy), "dga": lambda df: scorers.dga(df, model or default_model(spark), policy), "lexical": lambda df: scorers.lexical(df, policy), "tunnel": lambda df: scorers.tunnel(df, query_type, policy),
+    }
+    for n, add in own.items():
+        registered = detectors.replacing(spark, n)
+        out = registered.add(out) if registered else add(out)
+    for d in detectors.beside(spark):
+        out = d.add(out)
+    if "tunnel_indicators" not in out.columns:
+        out = out.withColumn("tunnel_indicators", F.array().cast("array<string>"))
+    return fusion.assess(out.drop(*scorers.HISTORY, "_domain", "_registrable", "max_risk"), policy, detectors.weights(spark, policy))
 
 
 def capture_report(queries: DataFrame, limit: int | None = None, findings: int = 100, rejected: int = 25, model: dict | None = None, policy: Policy = POLICY) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewarden import dims
 from tidewarden.functions import text as T
 from tidewarden.operators import history, intel, scorers, training
-from tidewarden.plans import analysis, captures_catalog, dashboards, feeds_catalog, lists_catalog, names_catalog, streams_catalog
+from tidewarden.plans import analysis, captures_catalog, dashboards, feeds_catalog, lists_catalog, models_catalog, names_catalog, streams_catalog
 from tidewarden.plans.views import DNS_EVENTS_SQL, PAGE_HOSTS_SQL, dns_events, page_hosts
 
 #: The test events are sparse, so history looks back a day.
@@ -126,7 +126,7 @@ def queries() -> dict:
         "keyword_matches": _keywords,
         "bigram_counts": _bigrams,
         "bigram_log_probs": _log_probs,
-    } | names_catalog.queries() | feeds_catalog.queries() | lists_catalog.queries() | captures_catalog.queries() | streams_catalog.queries()
+    } | names_catalog.queries() | feeds_catalog.queries() | lists_catalog.queries() | captures_catalog.queries() | streams_catalog.queries() | models_catalog.queries()
 
 
 def _dns(select: str) -> str:
@@ -251,6 +251,6 @@ ORACLE_SQL["bigram_log_probs"] = f"""
     ), totals as (select prev, sum(n) as total from counts group by 1)
     select g.prev, g.next, round(ln((coalesce(n, 0) + 0.1) / (coalesce(total, 0) + 0.1 * 38)), 6) as log_prob from grid g left join counts c on g.prev = c.prev and g.next = c.next left join totals t on g.prev = t.prev
 """
-ORACLE_SQL |= names_catalog.ORACLE_SQL | feeds_catalog.ORACLE_SQL | lists_catalog.ORACLE_SQL | captures_catalog.ORACLE_SQL | streams_catalog.ORACLE_SQL
+ORACLE_SQL |= names_catalog.ORACLE_SQL | feeds_catalog.ORACLE_SQL | lists_catalog.ORACLE_SQL | captures_catalog.ORACLE_SQL | streams_catalog.ORACLE_SQL | models_catalog.ORACLE_SQL
 # What a stream keeps equals what the table gives.
 ORACLE_SQL |= {"kept_top_risky": ORACLE_SQL["top_risky_domains"], "kept_top_blocked": ORACLE_SQL["top_blocked_domains"], "kept_sources": ORACLE_SQL["source_stats"], "kept_activity": ORACLE_SQL["stream_hourly"].replace("from v_dns group by", "from v_dns where event_type = 'dns' group by")}

@@ -91,3 +91,15 @@ def stream_into(events: DataFrame, path: str, checkpoint: str, prepare: Callable
     """Stores a stream of events, each micro-batch once; ``prepare`` may analyse it first. ``trigger``: as in Spark."""
     writer = events.writeStream.foreachBatch(lambda df, n: append(prepare(df), path, n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+# The names that an interface gives the columns of an event; other columns keep theirs.
+SHOWN_AS = {"ts": "timestamp", "ti_verdict": "threat_intelligence_verdict", "ti_categories": "threat_categories", "ti_indicator": "matched_indicator"}
+
+
+def projected(events: DataFrame) -> DataFrame:
+    """Stored events as an interface shows them: its names and order of columns; flags are false and lists empty where unset."""
+    names = [f.name for f in StructType.fromDDL(SCHEMA)]
+    order = [c for c in names if c not in ("name_kind", "event_type", "blocked", *GATEWAY)] + ["event_type", "query_type", "query_class", "client_address", "blocked", "upstream_used", "cache_hit", "response_code", "block_policy", "dns_upstream_time_ms", "total_gateway_time_ms"]
+    return events.select(*(F.col(c).alias(SHOWN_AS.get(c, c)) for c in order))
+
