@@ -3,8 +3,9 @@
 Every dimension is a list of a block's candidates sorted by value, cut into slices. A query reads each list slice by slice
 from the end that its sign favours, deeper where its component is larger. What is read of a candidate bounds its score:
 unread components lie between the list's far end and the depth reached, and together they can't exceed the product of the
-lengths that the query and the candidate have left (a candidate's length is read first). Reading stops when hardly any
-candidate can still reach the k-th lower bound; the scores of those are then resolved exactly, ties going to smaller ids.
+lengths that the query and the candidate have left (a candidate's length is read first). After each depth the candidates that
+can't reach the k-th lower bound are left behind, and deeper reading looks at the others only. It stops when hardly any are
+left; the scores of those are then resolved exactly, ties going to smaller ids.
 
 Candidates are dealt to blocks of bounded size, once; queries go to every block, in streams, so no task holds a side. The
 k best of the blocks of a query hold its k best over all.
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 CANDIDATES, TOGETHER = 16384, 128
 #: Slices of a list.
 SLICES = 4
-#: Shares of a query's squared length that may be unread when its bounds are looked at; the last reads everything.
-UNREAD = (0.1, 0.06, 0.0)
+#: Shares of a query's squared length that may be unread when its bounds are looked at.
+UNREAD = (0.1, 0.06, 0.04, 0.025, 0.015, 0.008, 0.004)
+#: Candidates left for each of the k at which reading stops.
+LEFT = 8
 #: Depths that a query's schedule is chosen from: slices read of the list with its largest component, others in proportion.
 DEPTHS = tuple(SLICES * 2.0 ** (i / 4) for i in range(-8, 29))
 #: What rounding of single-precision sums may hide, as a share of a squared length, or of the product of the lengths.
@@ -50,7 +53,10 @@ class Lists:
         # The edges of the slices, from either end; a list read to its end leaves nothing.
         self.least = np.vstack([listed[np.minimum(first[:-1], n - 1)], np.zeros_like(listed[:1])])
         self.most = np.vstack([np.zeros_like(listed[:1]), listed[np.maximum(np.array(first[1:]) - 1, 0)]])
-        self.entries_read = 0
+        self.slice_of = np.empty(x.shape, np.int8)
+        for i, m in enumerate(slices):
+            self.slice_of[m] = i
+        self.entries_read = self.unstopped = 0
 
     def levels(self, q: np.ndarray, unread: float) -> np.ndarray:
         """Slices of each list that each query reads (m x d): the least depth that leaves ``unread`` of its squared length."""
@@ -87,34 +93,50 @@ class Lists:
         upper = np.minimum(score + (best.sum(1, keepdims=True).astype(np.float32) - high) + ends[1] + SLACK * np.sqrt(length * self.norms), score + reach)
         return lower, upper
 
-    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row of the query, id, score) of the k best for each query, ids equal to its own left out.
+    def bounds_of(self, q: np.ndarray, level: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``bounds`` of one query for some candidates, from what is read of them."""
+        up, columns, x = q > 0, np.arange(len(q)), self.x[live]
+        read = np.where(up, self.slice_of[live] >= SLICES - level, self.slice_of[live] < level)
+        best = q * np.where(up, self.most[SLICES - level, columns], self.least[level, columns])
+        worst = q * np.where(up, self.least[0], self.most[SLICES])
+        seen = x * read
+        score, known, length = seen @ q, read @ (q * q), q @ q
+        reach = np.sqrt(np.maximum(0, self.norms[live].astype(float) * (1 + SLACK) - (seen * seen).sum(1)) * np.maximum(0, length * (1 + SLACK) - known))
+        slack = SLACK * np.sqrt(length * self.norms[live])
+        return np.maximum(score + (~read) @ worst, score - reach) - slack, np.minimum(score + (~read) @ best, score + reach) + slack
+
+    def narrowed(self, q: np.ndarray, live: np.ndarray, bar: float, k: int) -> np.ndarray:
+        """Of the candidates, those that may be among the k best: few as soon as a depth tells."""
+        for unread in UNREAD[1:]:
+            if len(live) <= LEFT * k:
+                return live
+            level = self.levels(q[None, :], unread)[0]
+            lower, upper = self.bounds_of(q, level, live)
+            bar = max(bar, np.partition(lower, len(live) - k)[len(live) - k])
+            live = live[upper >= bar]
+            self.entries_read += int(level.sum() - self._level.sum()) * len(self.ids) // SLICES
+            self._level = level
+        self.unstopped += len(live) > max(LEFT * k, len(self.ids) // 64)
+        return live
 
-        Each query is done as soon as few enough candidates can still be among its best."""
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row of the query, id, score) of the k best for each query, ids equal to its own left out."""
         n, out = len(self.ids), []
         for at in range(0, len(queries), TOGETHER):
-            todo = np.arange(at, min(at + TOGETHER, len(queries)))
-            for unread in UNREAD:
-                if not len(todo):
-                    break
-                q = queries[todo].astype(np.float64)
-                level = self.levels(q, unread)
-                itself = own[todo][:, None] == self.ids[None, :]
-                if unread:
-                    lower, upper = self.bounds(q, level)
-                else:
-                    lower = upper = q @ self.x.T
-                lower = np.where(itself, -np.inf, lower)
-                place = max(n - k, 0)
-                bar = np.partition(lower, place, axis=1)[:, place]
-                alive = (upper >= bar[:, None]) & ~itself  # a tie may still win by its id
-                done = (alive.sum(axis=1) <= max(8 * k, n // 64)) | (not unread)
-                self.entries_read += int(level[done].sum()) * n // SLICES
-                for i in np.flatnonzero(done):
-                    left = np.flatnonzero(alive[i])
-                    scores = self.x[left] @ q[i]
-                    out += [(int(todo[i]), int(self.ids[left[j]]), int(scores[j])) for j in np.lexsort((self.ids[left], -scores))[:k]]
-                todo = todo[~done]
+            q = queries[at : at + TOGETHER].astype(np.float64)
+            level = self.levels(q, UNREAD[0])
+            lower, upper = self.bounds(q, level)
+            itself = own[at : at + TOGETHER][:, None] == self.ids[None, :]
+            lower = np.where(itself, -np.inf, lower)
+            place = max(n - k, 0)
+            bar = np.partition(lower, place, axis=1)[:, place]
+            alive = (upper >= bar[:, None]) & ~itself  # a tie may still win by its id
+            self.entries_read += int(level.sum()) * n // SLICES
+            for i in range(len(q)):
+                self._level = level[i]
+                left = self.narrowed(q[i], np.flatnonzero(alive[i]), bar[i], k)
+                scores = self.x[left] @ q[i]
+                out += [(at + i, int(self.ids[left[j]]), int(scores[j])) for j in np.lexsort((self.ids[left], -scores))[:k]]
         return out
 
 
