@@ -9,8 +9,8 @@
 5. Checks on the words themselves: the longest common subsequence of the item with the text around the candidate, and
    how much of the item's answer, its last sentence, is in it. Paraphrases keep most words in order; chance doesn't.
 
-The benchmark is dealt with in parts of ``PART`` items, ``ROUND`` of them in each round over the corpus, so what tasks
-receive has a bound whatever its size.
+The benchmark is dealt with in parts of ``PART`` items and ``PART_WORDS`` words, ``ROUND`` of them in each round over the
+corpus, so what tasks receive has a bound whatever its size.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ LCS, LCS_WITH_ANSWER, ANSWER = 0.65, 0.55, 0.9
 #: Items of a part; parts that share a round's passes over the corpus; words that a task handles at once; blocks that the
 #: tasks' sums are cut into.
 PART, ROUND, BATCH, BLOCKS = 500, 8, 65536, 16
+#: Words of a part's items, about (a longer item is a part by itself or shares one); bytes of a table of passages by words.
+PART_WORDS, TABLE = 30_000, 1 << 26
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 # Words are runs of ASCII letters and digits and of bytes beyond ASCII, in lower case.
@@ -331,8 +333,7 @@ class Items:
         shared, width = np.zeros(len(which)), self.vocabulary.size + 1
         for x in range(0, len(which), 16384):
             y = slice(x, x + 16384)
-            inside = self.member.take(passage[y, None] * width + held[which[y]])
-            shared[y] = np.einsum("ij,ij->i", inside, weights[which[y]])
+            shared[y] = np.einsum("ij,ij->i", self.holds(passage[y, None] * width + held[which[y]]), weights[which[y]])
         enough = shared >= self.least[passage]
         out, done = [], set()
         for w, p in zip(which[enough].tolist(), passage[enough].tolist(), strict=True):
@@ -346,21 +347,28 @@ class Items:
                 out.append((doc, self.ids[k], float(near[w, p]), share, answer))
         return out
 
-    @property
-    def member(self) -> np.ndarray:
-        """Which words each passage has, passage by passage; made where it is used."""
-        if "_member" not in self.__dict__:
-            self._member = np.zeros((len(self.sets), self.vocabulary.size + 1), bool)
-            for i, words in enumerate(self.sets):
-                self._member[i, words] = True
-            self._member = self._member.ravel()
-        return self._member
+    def holds(self, pairs: np.ndarray) -> np.ndarray:
+        """Which of the pairs (passage * width + word) are of a passage and a word that it has. Looked up in a table of all pairs
+        where that is small, else among the sorted pairs that are; either is made where it is used."""
+        if "_pairs" not in self.__dict__:
+            width = self.vocabulary.size + 1
+            held = np.concatenate([np.zeros(0, np.int64), *(i * width + words.astype(np.int64) for i, words in enumerate(self.sets))])
+            self._dense = len(self.sets) * width <= TABLE
+            if self._dense:
+                self._pairs = np.zeros(len(self.sets) * width, bool)
+                self._pairs[held] = True
+            else:
+                self._pairs = np.sort(held)
+        if self._dense:
+            return self._pairs.take(pairs)
+        return self._pairs.take(np.searchsorted(self._pairs, pairs), mode="clip") == pairs
 
 
 def _rounds(benchmark: DataFrame, item_col: str, item_text: str, part_items: int):
     """(item id's type, the parts of each round)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    parts = max(1, -(-items.count() // part_items))
+    n, words = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
+    parts = max(1, -(-n // part_items), -(-words // PART_WORDS))
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
 
     def rounds():
