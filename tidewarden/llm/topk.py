@@ -25,7 +25,7 @@ CANDIDATES, TOGETHER = 16384, 128
 #: Slices of a list.
 SLICES = 4
 #: Shares of a query's squared length that may be unread when its bounds are looked at.
-UNREAD = (0.1, 0.06, 0.04, 0.025, 0.015, 0.008, 0.004)
+UNREAD = (0.04, 0.015, 0.004)
 #: Candidates left for each of the k at which reading stops.
 LEFT = 8
 #: Depths that a query's schedule is chosen from: slices read of the list with its largest component, others in proportion.
