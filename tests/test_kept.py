@@ -12,7 +12,8 @@ from tidewarden.streaming import kept, live, sliding
 START = datetime.datetime(2024, 5, 1)
 SCHEMA = (
     "id long, ts timestamp, domain string, registrable_domain string, event_type string, risk_score int, classification string, decision string, query_type string, client_address string, blocked boolean, "
-    "cache_hit boolean, upstream_used boolean, response_code string, analysis_time_ms double"
+    "cache_hit boolean, upstream_used boolean, response_code string, analysis_time_ms double, "
+    "top_factors array<struct<code:string,severity:string,contribution:double>>, block_policy string"
 )
 
 
@@ -24,7 +25,7 @@ def made(a, b):
         decision = {"SAFE": "ALLOW", "SUSPICIOUS": "MONITOR", "MALICIOUS": "BLOCK"}[kind]
         out.append((
             i, START + datetime.timedelta(minutes=(i * 17) % 300), f"h{i % 23}.d{i % 4}.test", None if i % 29 == 0 else f"d{i % 4}.test", "dns" if dns else "analysis", risk, kind, decision, ["A", "TXT", "MX"][i % 3],
-            None if i % 7 == 0 else f"10.0.0.{i % 6}", decision == "BLOCK" and dns, i % 4 == 1, i % 4 == 2, "NXDOMAIN" if i % 3 else None, i / 7,
+            None if i % 7 == 0 else f"10.0.0.{i % 6}", decision == "BLOCK" and dns, i % 4 == 1, i % 4 == 2, "NXDOMAIN" if i % 3 else None, i / 7, [("DGA_HIGH", "high", 1.0)] * (i % 2), "REFUSED" if i % 3 else None,
         ))
     return out
 

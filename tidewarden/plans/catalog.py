@@ -192,7 +192,9 @@ ORACLE_SQL = {
         union all select 'p95_gateway', round(x[floor(len(x) * 0.95)::int + 1], 6) from g union all select 'p99_gateway', round(x[floor(len(x) * 0.99)::int + 1], 6) from g"""),
     "risk_histogram": _dns("select r.bucket, count(v.id) as n from range(10) r(bucket) left join v_dns v on least(risk_score // 10, 9) = r.bucket group by 1"),
     "top_risky_domains": _dns("select domain, max(risk_score) as risk_score, arg_max(classification, (risk_score, id)) as classification, count(*) as hits from v_dns where risk_score >= 30 group by 1 order by 2 desc, 4 desc, 1 limit 10"),
-    "top_blocked_domains": _dns("select domain, max(risk_score) as risk_score, arg_max(query_type, (risk_score, id)) as query_type, count(*) as hits from v_dns where event_type = 'dns' and blocked group by 1 order by 4 desc, 2 desc, 1 limit 15"),
+    "top_blocked_domains": _dns("""select domain, max(risk_score) as risk_score, arg_max(query_type, (risk_score, id)) as query_type, count(*) as hits, arg_max(block_policy, (risk_score, id)) as policy,
+        arg_max(case when len(top_factors) = 0 then 'no dominant factor' else case top_factors[1].code when 'DGA_HIGH' then 'looks generated' when 'SUSPICIOUS_TLD' then 'suffix with much abuse' else top_factors[1].code end end, (risk_score, id)) as reason
+        from v_dns where event_type = 'dns' and blocked group by 1 order by 4 desc, 2 desc, 1 limit 15"""),
     "threat_categories": _dns(", c as (select unnest(ti_categories) as category from v_dns) select category, count(*) as n from c where category <> 'allowlisted' group by 1"),
     "activity_by_class": _activity("classification", ["SAFE", "SUSPICIOUS", "MALICIOUS"]),
     "activity_by_decision": _activity("decision", ["ALLOW", "MONITOR", "BLOCK"], "event_type = 'dns'"),

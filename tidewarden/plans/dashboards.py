@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def is_dns():
     return F.col("event_type") == "dns"
 
@@ -69,7 +68,9 @@ def floor_percentile(rows: DataFrame, column: str, fraction: float) -> float:
         (low, high), below, inside = near, less, some
     if not n or low == high:
         return low if n else 0.0
-    return rows.where(x.between(low, high)).orderBy(x).select(x).offset(k - below).limit(1).first()[0]
+    # Few values are left, or few rows: values are counted, and the counts added up in order.
+    counts = rows.where(x.between(low, high)).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy("x").select("x", F.sum("n").over(Window.orderBy("x")).alias("upto")).where(F.col("upto") > k - below).orderBy("x").first()[0]
 
 
 def risk_histogram(events: DataFrame) -> DataFrame:
@@ -87,10 +88,29 @@ def top_risky(events: DataFrame, k: int = 10, least: int = 30) -> DataFrame:
     return out.orderBy(F.desc("risk_score"), F.desc("hits"), "domain").limit(k)
 
 
+#: What the codes of factors say in a few words.
+LABELS = {
+    "TI_MALICIOUS": "listed as malicious", "TI_SUSPICIOUS": "listed as suspicious", "DGA_HIGH": "looks generated", "DGA_MODERATE": "may be generated", "DNS_TUNNEL_INDICATORS": "may carry data", "BEHAVIORAL_ANOMALY": "odd history",
+    "BRAND_IMPERSONATION": "imitates a brand", "BRAND_SUBSTRING": "contains a brand", "SUSPICIOUS_TLD": "suffix with much abuse", "SUSPICIOUS_KEYWORD": "words of phishing names", "PUNYCODE": "letters beyond ASCII", "ENTROPY_HIGH": "high entropy",
+    "ENTROPY_VERY_HIGH": "very high entropy", "ENTROPY_NORMALIZED_HIGH": "hardly a repeated letter", "DIGIT_RATIO_HIGH": "many digits", "DIGIT_RATIO_VERY_HIGH": "mostly digits", "LENGTH_LONG": "long name", "LENGTH_VERY_LONG": "very long name",
+    "HYPHEN_MANY": "many hyphens", "SUBDOMAIN_DEEP": "many levels", "CONSONANT_RUN_LONG": "hard to pronounce", "VOWEL_RATIO_LOW": "few vowels", "NO_DICTIONARY_WORDS": "no known words",
+}
+
+
+def first_label(factors):
+    """What the strongest factor says: its label, or its code if that has none."""
+    code = F.get(factors, F.lit(0))["code"]
+    labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(labels, code), code, F.lit("no dominant factor"))
+
+
 def top_blocked(events: DataFrame, k: int = 15) -> DataFrame:
+    """Blocked names, with type, reason and policy of the row of highest risk."""
     rows = events.where(is_dns() & F.col("blocked")).groupBy("domain")
-    best = F.max_by("query_type", F.struct("risk_score", "id"))
-    return rows.agg(F.max("risk_score").alias("risk_score"), best.alias("query_type"), F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), F.desc("risk_score"), "domain").limit(k)
+    best = F.max_by(F.struct("query_type", "top_factors", "block_policy"), F.struct("risk_score", "id"))
+    out = rows.agg(F.max("risk_score").alias("risk_score"), best.alias("b"), F.count(F.lit(1)).alias("hits"))
+    out = out.select("domain", "risk_score", "b.query_type", first_label(F.col("b.top_factors")).alias("reason"), F.col("b.block_policy").alias("policy"), "hits")
+    return out.orderBy(F.desc("hits"), F.desc("risk_score"), "domain").limit(k)
 
 
 def categories(events: DataFrame) -> DataFrame:

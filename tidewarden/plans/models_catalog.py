@@ -121,8 +121,8 @@ ORACLE_SQL = {
         select id, round_even(raw, 0)::int as score, round(raw, 6) as raw_score, case when round_even(raw, 0) < 30 then 'ALLOW' when round_even(raw, 0) < 70 then 'MONITOR' else 'BLOCK' end as decision,
             round((wl + wn) / (0.4 + 0.35 + 0.25 + 0.15 + 0.1 + 0.2), 6) as coverage, round(wn * ns / (wl + wn), 6) as numbers, case when two then 'corroboration_bonus' else '' end as overrides from z""",
     "evolved_events": f"with {DNS_EVENTS_SQL} select domain, count(*) as events, sum(id)::bigint as ids, max(risk_score)::bigint as max_risk, count(client_address) filter (where id % 3 > 0) as attributed from v_dns group by 1",
-    "event_projection": f"""with {DNS_EVENTS_SQL} select ts as timestamp, domain, registrable_domain, risk_score, decision, ti_verdict as threat_intelligence_verdict, array_to_string(ti_categories, ',') as threat_categories, null::varchar as matched_indicator, 0 as factors,
-        event_type, blocked, cache_hit, response_code, null::varchar as block_policy, client_address from v_dns""",
+    "event_projection": f"""with {DNS_EVENTS_SQL} select ts as timestamp, domain, registrable_domain, risk_score, decision, ti_verdict as threat_intelligence_verdict, array_to_string(ti_categories, ',') as threat_categories, null::varchar as matched_indicator, len(top_factors)::int as factors,
+        event_type, blocked, cache_hit, response_code, block_policy, client_address from v_dns""",
     "shown_features": f"""with recursive {FEATURES_SQL} select raw as domain, round(digit_ratio, 3) as digit_ratio, round(vowel_ratio, 3) as vowel_ratio, round(entropy, 3) as entropy, round(sld_entropy, 3) as sld_entropy, round(normalized_entropy, 3) as normalized_entropy,
         round(coverage, 3) as coverage, round(tld_weight, 2) as tld_weight, round(keyword_weight, 2) as keyword_weight, length(raw) as length from weighed""",
     "url_errors": "with p as (select page_id as i, url, " + _HOST + f" as h from pages), r as (select i, ({_FORMS})[i % 15 + 1] as raw from p)," + FEEDS["name_errors"].split("t(i, raw)),", 1)[1],

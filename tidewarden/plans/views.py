@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidewarden.operators.fusion import band
 
 
+FACTORS = "array<struct<code:string,severity:string,contribution:double>>"
+
+
 def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table: one row for each decision."""
     return as_dns(spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -34,6 +37,8 @@ def as_dns(events: DataFrame) -> DataFrame:
         blocked.alias("blocked"), upstream.alias("upstream_used"), (served & (F.col("k") % 3 == 0)).alias("cache_hit"),
         F.when(dns, F.when(F.col("source_type") == "error", "NXDOMAIN").otherwise("NOERROR")).alias("response_code"),
         F.when(upstream, F.col("value") / 5).otherwise(0.0).alias("dns_upstream_time_ms"), F.when(dns, F.col("value") / 4).alias("total_gateway_time_ms"),
+        F.when(F.col("k") % 4 == 3, F.array().cast(FACTORS)).otherwise(F.array(F.struct(pick(["DGA_HIGH", "SUSPICIOUS_TLD", "UNHEARD_OF"], 3).alias("code"), F.lit("medium").alias("severity"), (F.col("value") / 2).alias("contribution")))).alias("top_factors"),
+        F.when(blocked, F.when(F.col("user_id") % 2 == 0, "NXDOMAIN").otherwise("REFUSED")).alias("block_policy"),
     )
 
 
@@ -58,7 +63,9 @@ DNS_EVENTS_SQL = """
             is_dns and decision <> 'BLOCK' and k % 3 = 0 as cache_hit,
             case when is_dns then case when source_type = 'error' then 'NXDOMAIN' else 'NOERROR' end end as response_code,
             case when is_dns and decision <> 'BLOCK' and k % 3 <> 0 then value / 5 else 0 end as dns_upstream_time_ms,
-            case when is_dns then value / 4 end as total_gateway_time_ms
+            case when is_dns then value / 4 end as total_gateway_time_ms,
+            case when k % 4 = 3 then [] else [{'code': (['DGA_HIGH', 'SUSPICIOUS_TLD', 'UNHEARD_OF'])[k % 3 + 1], 'severity': 'medium', 'contribution': value / 2}] end as top_factors,
+            case when decision = 'BLOCK' and is_dns then case when user_id % 2 = 0 then 'NXDOMAIN' else 'REFUSED' end end as block_policy
         from f
     )
 """

@@ -74,7 +74,7 @@ def tables(events: DataFrame) -> dict[str, DataFrame]:
     """The aggregations that ``dashboard`` reads, over a stream or a table of events. State grows with domains, hours and pairs of
     client and domain, not with events."""
     risky, blocked = F.col("risk_score") >= 30, dashboards.is_dns() & F.col("blocked")
-    top = F.struct("risk_score", "id", "classification", "query_type")
+    top = F.struct("risk_score", "id", "classification", "query_type", "top_factors", "block_policy")
     count, count_if = F.count(F.lit(1)), F.count_if
     decided = lambda d: count_if(F.col("decision") == d)
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("hour")
@@ -98,7 +98,8 @@ def dashboard(kept: DataFrame, name: str, k: int | None = None) -> DataFrame:
         out = kept.where("risky > 0").select("domain", "riskiest.risk_score", "riskiest.classification", F.col("risky").alias("hits"))
         return out.orderBy(F.desc("risk_score"), F.desc("hits"), "domain").limit(k or 10)
     if name == "top_blocked":
-        out = kept.where("blocked > 0").select("domain", "worst.risk_score", "worst.query_type", F.col("blocked").alias("hits"))
+        reason = dashboards.first_label(F.col("worst.top_factors")).alias("reason")
+        out = kept.where("blocked > 0").select("domain", "worst.risk_score", "worst.query_type", reason, F.col("worst.block_policy").alias("policy"), F.col("blocked").alias("hits"))
         return out.orderBy(F.desc("hits"), F.desc("risk_score"), "domain").limit(k or 15)
     if name == "activity":
         return kept.select("hour", "ALLOW", "MONITOR", "BLOCK")
