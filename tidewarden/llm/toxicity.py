@@ -123,6 +123,8 @@ class Lexicon:
                 self.parts |= {term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
         self.any_part = re.compile("|".join(map(re.escape, sorted(self.parts)))).search if self.parts else None
         self.most = max(self.edits.values(), default=0)
+        within = sorted(t[:-1] for t, k in self.edits.items() if k and len(t) > INSIDE)
+        self.any_inside = re.compile("|".join(map(re.escape, within))).search if within else None
 
     def exact(self, word: str) -> str | None:
         node = self.root
@@ -189,7 +191,7 @@ class Lexicon:
             return self.terms[term]
         if word in self.known:
             return 0.0
-        if hits := [self.terms[t] for t in self.inside(word)]:
+        if self.any_inside and self.any_inside(word) and (hits := [self.terms[t] for t in self.inside(word)]):
             return 1 - math.prod(1 - w for w in hits)
         if not self.any_part or not self.any_part(word):
             return 0.0
