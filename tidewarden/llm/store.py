@@ -1,34 +1,12 @@
-"""Where intermediate tables live: the folder that the cluster shares between driver and executors."""
+"""Intermediate tables in the shared folder, as in the rest of the library, and names that no column has."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from tidewarden.shared import settle
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a local session that names none gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "/tmp/tidewarden"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and losing an executor loses nothing.
-
-    The tables of a local session are removed when its Python process ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if spark.sparkContext.master.startswith("local["):
-        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["settle", "unused"]
 
 
 def unused(name: str, *frames: DataFrame) -> str:
