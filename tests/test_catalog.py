@@ -12,8 +12,10 @@ from tidewarden.operators import history, training
 from tidewarden.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events pages part".split()
+TABLES = "events pages part customer nation documents".split()
 NAMES = "name_errors name_kinds brand_matches lexical_scores tunnel_scores dga_scores assessed_hosts capture_totals gateway_outcomes stored_events zeek_queries pcap_questions stream_hourly trailing_behaviour timing_percentiles family_separation sql_functions replayed_verdicts generated_names".split()
+NAMES += "suffix_split lexicon_coverage capture_ranges answer_records answer_lifetimes upload_totals upload_sources sliding_exact sliding_panes kept_sources kept_top_blocked kept_rates stored_model fused_detectors".split()
+NAMES += "evolved_events event_projection shown_features url_errors listed_hosts stream_verdicts client_behaviour top_blocked_domains".split()
 
 
 @pytest.fixture(scope="module")
