@@ -5,7 +5,7 @@ is pruned. Every other block gets its composite text density, the characters for
 inline elements are part of their block's text. A block's density sum is that of its text and of the blocks right below
 it, and the block with the largest sum is the article; a paragraph alone is none. Class and id names delete nothing:
 a block that is named as a sidebar, notice, advert or comments has its density and sum lowered, as have blocks outside
-the article or main element of a page that has one.
+the article or main element of a page that has one; both count.
 
 The threshold is the least density on the way from the body to the chosen block. Inside it, lists of links and blocks with
 lowered density are left out if they don't reach the threshold.
@@ -218,20 +218,21 @@ class Page:
         for i in range(n - 1, 0, -1):
             if tag[i] in ARTICLES and chars[i] and not out[i] or leads[i]:
                 leads[parent[i]] = True
-        lowered = [False] * n
+        named, outside, lowered = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
-            lowered[i] = tag[i] not in ARTICLES and (self.named[i] or lowered[parent[i]] or told and not held[i] and not leads[i])
+            named[i] = tag[i] not in ARTICLES and (self.named[i] or named[parent[i]])
+            outside[i] = told and not held[i] and not leads[i]
+            lowered[i] = named[i] or outside[i]
         density, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
             if out[i] or not chars[i] or block[i] != i:
                 continue
-            weight = LOWERED if lowered[i] else 1.0
+            weight = LOWERED ** (named[i] + outside[i])
             density[i] = weight * composite(chars[i], linked[i], max(1, tags[i]), links[i])
             if own[i]:
-                total[i] += composite(own[i], 0, 1, 0)
-            total[i] *= weight
+                total[i] += weight * composite(own[i], 0, 1, 0)
             if i:
-                total[block[parent[i]]] += density[i] / (LOWERED if lowered[block[parent[i]]] and weight < 1 else 1.0)
+                total[block[parent[i]]] += density[i]
         self.out, self.chars, self.linked, self.lowered, self.leads = out, chars, linked, lowered, leads
         return density, total
 
