@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.plans import analysis
-from tidewarden.plans import names_catalog as names
 from tidewarden.plans.feeds_catalog import _VERDICTS, ASKED, MICROS, TYPE_CODES, zeek_log
 from tidewarden.plans.views import DNS_EVENTS_SQL, dns_events
 from tidewarden.shared import shared_folder
