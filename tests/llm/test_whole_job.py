@@ -64,6 +64,18 @@ def test_terms_between_marks_are_learned(spark):
         assert {r.doc_id: r.predicted for r in toxicity.predict(docs, model).collect()} == {1: 1, 2: 0}
 
 
+def test_a_dollar_sign_within_a_term(spark):
+    for term in ("idiot$x$", "idiot$xyz"):  # its other words are found as ever
+        lexicon = toxicity.Lexicon({term: 0.9, "moron$": 0.9})
+        assert lexicon.near("idiot") is None
+        assert lexicon.weight("youmorons") == 0.9 and lexicon.weight("youidiots") == 0 and lexicon.near("moran") == (1, "moron$")
+    rng = random.Random(23)
+    rows = [(int(i % 4 == 0), words(rng, 40) + (" idiot$cash idiot" if i % 4 == 0 else " idiox" if i % 9 == 1 else "")) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(rows, "toxic int, text string"))
+    docs = spark.createDataFrame([(1, "aa idiot$cash"), (2, words(rng, 30)), (3, "aa youidiots")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.predict(docs, model).collect()} == {1: 1, 2: 0, 3: 1}
+
+
 def test_terms_inside_words_count_alike_at_every_length():
     lexicon = toxicity.Lexicon({"idiot$": 0.9, "fool$": 0.8, "vequ": 0.8}, frozenset(["patriotidiotic", "x" * 70 + "idiotic"]))
     for n in (3, 20, 58, 59, 60, 64, 70, 500):

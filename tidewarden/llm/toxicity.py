@@ -146,7 +146,7 @@ class Lexicon:
             for c, child in node.items():
                 if c == "":
                     continue
-                if c == "$":
+                if c == "$" and "" in child:  # else a mark within a term
                     edits = automaton.edits(state)
                     if edits is not None and edits <= self.edits[child[""]] and (best is None or (edits, child[""]) < best):
                         best = edits, child[""]
@@ -164,8 +164,9 @@ class Lexicon:
                 node = node.get(word[i])
                 if node is None:
                     break
-                if "$" in node and i + 1 - at >= INSIDE and self.edits[node["$"][""]]:
-                    found, end = node["$"][""], i + 1
+                term = node.get("$", {}).get("")
+                if term and i + 1 - at >= INSIDE and self.edits[term]:
+                    found, end = term, i + 1
             if found:
                 out.append(found)
             at = end
@@ -276,6 +277,7 @@ def scored(text, model: str):
 
 
 def _grams(words: set[str]) -> set[str]:
+    words = {w for w in words if "$" not in w}  # the sign ends whole words; between marks its parts are words as well
     out = {w + "$" for w in words}
     for n in STEM:
         out |= {w[:n] for w in words if len(w) >= n}
