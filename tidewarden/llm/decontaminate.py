@@ -42,6 +42,8 @@ LCS, LCS_WITH_ANSWER, ANSWER = 0.65, 0.55, 0.9
 PART, ROUND, BATCH, BLOCKS = 500, 8, 65536, 16
 #: Words of a part's items, about (a longer item is a part by itself or shares one); bytes of a table of passages by words.
 PART_WORDS, TABLE = 30_000, 1 << 26
+#: Words of a window, the heaviest ones, that are looked at before the others.
+HEAVIEST = 6
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 # Words are runs of ASCII letters and digits and of bytes beyond ASCII, in lower case.
@@ -49,29 +51,35 @@ _IN_WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 _PRIME = np.uint64(0x100000001B3)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _PRIME, np.uint64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_POWERS = _powers(1 << 12)
-_BYTE = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes of texts that are hashed at once; powers of the prime and of its inverse modulo 2^64, for so many places.
+PIECE = 1 << 16
+_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
+_POWERS = _powers(_PRIME, PIECE), _powers(_INVERSE, PIECE)
+_BYTE = np.where(_IN_WORD, np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64), np.uint64(0))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words: sums of byte values times powers of a prime by the place in the word."""
-    data = np.frombuffer((text or "").lower().encode(), np.uint8)
-    inside = _IN_WORD[data]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes of the words, their 64-bit hashes): sums of byte values times powers of a prime by the place in the word.
+    The powers run on over all bytes, and each word's sum is divided by the power that it began with."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(codes) + 1, bool)
+    inside[1:] = _IN_WORD[codes]
+    starts = np.flatnonzero(inside[1:] > inside[:-1])
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = ends - starts
-    data = data[inside]
-    first = np.cumsum(n) - n
-    place = np.arange(len(data)) - np.repeat(first, n)
-    return np.add.reduceat(_BYTE[data] * _POWERS[place & (len(_POWERS) - 1)], first)
+        return starts, np.zeros(0, np.uint64)
+    powers, inverse = _POWERS if len(codes) <= PIECE else (_powers(_PRIME, len(codes)), _powers(_INVERSE, len(codes)))
+    return starts, np.add.reduceat(_BYTE[codes] * powers[: len(codes)], starts) * inverse[starts]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words."""
+    return _hashed((text or "").lower().encode())[1]
 
 
 class Vocabulary:
@@ -102,12 +110,32 @@ class Vocabulary:
         return out.astype(self.kind)
 
 
+def _coded(texts, vocabulary: Vocabulary):
+    """The word ids of each text; as many texts are looked up at once as ``PIECE`` holds."""
+    held, size = [], 0
+    for text in texts:
+        data = (text or "").lower().encode()
+        if held and size + len(data) >= PIECE:
+            yield from _looked_up(held, vocabulary)
+            held, size = [], 0
+        held.append(data)
+        size += len(data) + 1
+    yield from _looked_up(held, vocabulary)
+
+
+def _looked_up(texts: list[bytes], vocabulary: Vocabulary):
+    starts, hashes = _hashed(b"\n".join(texts))
+    cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts])).tolist()
+    ids = vocabulary.ids(hashes)
+    return (ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+
+
 def words_of(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, words binary): the word ids of whole texts."""
 
     def coded(batches):
         for batch in batches:
-            coded = [vocabulary.ids(word_hashes(x)).tobytes() for x in batch.column(1).to_pylist()]
+            coded = [x.tobytes() for x in _coded(batch.column(1).to_pylist(), vocabulary)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["doc_id", "words"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
@@ -147,13 +175,11 @@ def _sums(words: np.ndarray, first: np.ndarray, at: np.ndarray, end: np.ndarray,
     with id 0 weigh nothing."""
     steps = -(-np.diff(first) // STEP)
     offset = np.cumsum(steps) - steps  # steps before each text
-    where = np.flatnonzero(words)
-    text = np.searchsorted(first, where, side="right") - 1
-    step = offset[text] + (where - first[text]) // STEP
-    cuts = np.flatnonzero(np.diff(step, prepend=-1))
-    running = np.zeros((int(steps.sum()) + 1, table.shape[1]), np.float32)
-    if len(where):
-        running[step[cuts] + 1] = np.add.reduceat(table[words[where]], cuts, axis=0)
+    laid = np.zeros((int(steps.sum()), STEP), words.dtype)
+    laid.ravel()[np.arange(len(words)) + np.repeat(offset * STEP - first[:-1], np.diff(first))] = words
+    running = np.zeros((len(laid) + 1, table.shape[1]), np.float32)
+    for place in laid.T:
+        running[1:] += table[place]
     np.cumsum(running, axis=0, out=running)
     a = offset[of] + (at - first[of]) // STEP
     return running[a - (at - end) // STEP] - running[a]
@@ -294,6 +320,9 @@ class Items:
     def place(self, basis: np.ndarray, cosine: float, verdict: tuple[float, float, float] = (LCS, LCS_WITH_ANSWER, ANSWER)) -> None:
         self.lcs, self.lcs_with_answer, self.answer = verdict
         self.table = (basis * self.idf[:, None]).astype(np.float32)
+        self.ranked = np.argsort(-self.idf, kind="stable")  # words from the heaviest to those that weigh nothing
+        self.rank = np.empty(len(self.idf), self.vocabulary.kind)
+        self.rank[self.ranked] = np.arange(len(self.idf))
         _, words, first = _joined(list(zip(self.ids, self.words, strict=True)))
         at, end, self.of = _windows(first, STEP)
         self.vectors = _unit(_sums(words, first, at, end, self.of, self.table))
@@ -323,18 +352,17 @@ class Items:
             return []
         at, end, of, heavy = at[full], end[full], of[full], heavy[full]
         near = _unit(_sums(words, first, at, end, of, self.table)) @ self.vectors.T
-        hits = np.flatnonzero(near >= self.bars)
-        which, passage = np.divmod(hits, near.shape[1])
-        sure = heavy[which] >= self.least[passage]
-        which, passage = which[sure], passage[sure]
+        which, passage = np.divmod(np.flatnonzero((near >= self.bars) & (heavy[:, None] >= self.least)), near.shape[1])
         place = at[:, None] + np.arange(PASSAGE)
-        held = np.where(place < end[:, None], words[np.minimum(place, len(words) - 1)], 0).astype(np.int64)
+        ranks = self.rank[np.where(place < end[:, None], words[np.minimum(place, len(words) - 1)], 0)]
+        ranks.sort(axis=1)
+        held = self.ranked[ranks]
         weights = self.idf[held]
-        shared, width = np.zeros(len(which)), self.vocabulary.size + 1
-        for x in range(0, len(which), 16384):
-            y = slice(x, x + 16384)
-            shared[y] = np.einsum("ij,ij->i", self.holds(passage[y, None] * width + held[which[y]]), weights[which[y]])
-        enough = shared >= self.least[passage]
+        rest = weights[:, HEAVIEST:].sum(1)
+        # What the heaviest words share and all the others weigh settles most pairs.
+        maybe = self.shared(which, passage, held[:, :HEAVIEST], weights[:, :HEAVIEST]) + rest[which] >= self.least[passage] * ROUNDING
+        which, passage = which[maybe], passage[maybe]
+        enough = self.shared(which, passage, held, weights) >= self.least[passage]
         out, done = [], set()
         for w, p in zip(which[enough].tolist(), passage[enough].tolist(), strict=True):
             doc, k = int(of[w]), int(self.of[p])
@@ -347,6 +375,14 @@ class Items:
                 out.append((doc, self.ids[k], float(near[w, p]), share, answer))
         return out
 
+    def shared(self, which: np.ndarray, passage: np.ndarray, held: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weight of each pair's window's words that its passage has."""
+        out, width = np.zeros(len(which)), self.vocabulary.size + 1
+        for x in range(0, len(which), 16384):
+            y = slice(x, x + 16384)
+            out[y] = np.einsum("ij,ij->i", self.holds(passage[y, None] * width + held[which[y]]), weights[which[y]])
+        return out
+
     def holds(self, pairs: np.ndarray) -> np.ndarray:
         """Which of the pairs (passage * width + word) are of a passage and a word that it has. Looked up in a table of all pairs
         where that is small, else among the sorted pairs that are; either is made where it is used."""
@@ -439,7 +475,7 @@ def _holds(group: list[Items], vocabulary: Vocabulary):
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts), bool)
-        coded = ((i, vocabulary.ids(word_hashes(x))) for i, x in enumerate(texts))
+        coded = enumerate(_coded(texts, vocabulary))
         for ids, words, first in _batches(coded, vocabulary.kind):
             for part in group:
                 for found in part.find(words, first):
